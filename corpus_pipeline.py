@@ -7,8 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm.bpe import encode_documents
 from palimpsest.llm.common import shared_folder, table
+from palimpsest.llm.mixing import mix_documents
 from palimpsest.llm.quality import apply_quality
+from palimpsest.llm.secrets import redact_secrets
 from palimpsest.llm.simhash import drop_near_duplicates
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -24,7 +27,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality_rules), ("simhash near-dedup", near_dedup)]
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced; all documents stay."""
+    return redact_secrets(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the order of the schedule, each as often as it is scheduled, once at least."""
+    return mix_documents(docs)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of every row, with a check that they decode to its text."""
+    return encode_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("simhash near-dedup", near_dedup),
+    ("secret scans", secret_scans),
+    ("mixing sources", mix_sources),
+    ("bpe encoding", bpe_encoding),
+]
 
 #: The SimHash, entropy and BPE stages have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -84,6 +84,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def token_count(text: str = "text") -> F.Column:
+def token_count(text: Column) -> Column:
     """Runs of characters other than white space; null and empty texts have none."""
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S+"))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(__doc, __row): the id, and the whole row as a struct, whose names can clash with nothing."""
+    return docs.select(F.col("doc_id").alias("__doc"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+
+
+def one_per_id(docs: DataFrame, rows: DataFrame, order: Callable[[Callable[[str], Column]], list[Column]]) -> DataFrame:
+    """`rows`, of the form packed(docs), with one row for each repeated id, the first by `order`, which gets the fields of the row.
+
+    Ids alone are counted; only rows whose id repeats are shuffled.
+    """
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "repeated-ids")
+    if again.isEmpty():
+        return rows
+    once = rows.join(again, rows["__doc"] == again["__again"], "left_anti")
+    more = rows.join(again, rows["__doc"] == again["__again"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("__doc").orderBy(*order(F.col("__row").getField)))
+    return once.unionByName(more.withColumn("__rank", rank).where("__rank = 1").drop("__rank"))

@@ -65,13 +65,16 @@ def apply_quality(docs: DataFrame, floor: int = FLOOR, share: float = SHARE, min
         joined = docs.alias("d").join(cut.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.id")) & (host == F.col("h.host")), "left")
         gone = F.array_intersect(_hashes(F.col("d.text")), F.col("h.lines"))
     row = F.struct(*[F.col(f"d.`{c}`").alias(c) for c in columns])
-    cut = joined.select(row.alias("row"), F.when(F.size(gone) > 0, gone).alias("gone"))
+    # each explode of one element keeps what it holds from being evaluated again inside later expressions
+    cut = joined.select(row.alias("row"), F.explode(F.array(gone)).alias("gone"))
+    touched = F.size("gone") > 0
     pairs = F.transform(F.split(F.col("row.text"), "\n"), lambda x: F.struct(x.alias("raw"), normalised(x).alias("norm")))
-    left = F.filter(pairs, lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(x["norm"])))
-    cut = cut.select("row", "gone", F.when(F.col("gone").isNotNull(), pairs).alias("pairs"), F.when(F.col("gone").isNotNull(), left).alias("left"))
+    cut = cut.select("row", "gone", F.explode(F.array(F.when(touched, pairs))).alias("pairs"))
+    left = F.filter("pairs", lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(x["norm"])))
+    cut = cut.select("row", "pairs", F.explode(F.array(left)).alias("left"))
     chars = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x["norm"]))
-    kept = F.when(F.col("gone").isNull(), F.col("row.text").rlike(r"[^ \t\r\f\n]")).otherwise((chars(F.col("left")) > 0) & (chars(F.col("left")) >= min_kept * chars(F.col("pairs"))))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("left", lambda x: x["raw"]), "\n"))
+    kept = F.when(F.col("pairs").isNull(), F.col("row.text").rlike(r"[^ \t\r\f\n]")).otherwise((chars("left") > 0) & (chars("left") >= min_kept * chars("pairs")))
+    text = F.when(F.col("pairs").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("left", lambda x: x["raw"]), "\n"))
     out = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType) if "n_chars" in columns else None}
     return cut.where(kept).select(*[(out[c] if c in out else F.col(f"row.`{c}`")).alias(c) for c in columns])
 

@@ -6,19 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import bpe, mixing, quality, secrets, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_dedup, op9_quality_rules)}
-ORACLES: dict[str, str] = {"op9_quality_rules": quality.ORACLE}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_mix_sources, op2_simhash_dedup, op3_bpe_encode, op5_secret_scan, op9_quality_rules)}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.ORACLE, "op9_quality_rules": quality.ORACLE}

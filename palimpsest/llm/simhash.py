@@ -13,7 +13,7 @@ CHAIN segments stay within their budgets.
 Defined cases: null and empty texts, and texts without a word, have no
 signature and are nobody's duplicates; a null doc_id is no duplicate and stays;
 equal signatures are duplicates; the least doc_id of a component stays; of rows
-that repeat one doc_id, one stays (least text); an empty table gives an empty
+that repeat one doc_id, one stays; an empty table gives an empty
 one; very long texts are hashed whole.
 """
 
@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, mix64, written
+from .common import mapped, mix64, one_per_id, packed, written
 from .graph import components
 
 TAU, SEGMENTS, CHAIN = 40, 32, 8
@@ -179,12 +179,6 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """`docs` without the documents that go; all columns stay as they are."""
     gone = near_duplicates(docs, tau).select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    again = written(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__again")), "repeated-ids")
-    if again.isEmpty():
-        return left
-    once = left.join(again, left["doc_id"] == again["__again"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    more = left.join(again, left["doc_id"] == again["__again"], "left_semi")
-    spare = "__rank" + "_" * max(map(len, docs.columns))
-    return once.unionByName(more.withColumn(spare, rank).where(F.col(spare) == 1).drop(spare))
+    rows = packed(docs)
+    left = rows.join(gone, rows["__doc"] == gone["__gone"], "left_anti")
+    return one_per_id(docs, left, lambda c: [F.xxhash64(c("text")), c("text")]).select("__row.*")
