@@ -61,7 +61,7 @@ def best_entropy(run: str, kind: Class) -> float:
     w = kind.window
     if len(run) < w:
         return 0.0
-    cost = [0.0] + [c * math.log2(c) for c in range(1, w + 1)]
+    cost = [0.0] + [c * math.log2(c) for c in range(1, w + 2)]
     counts: dict[str, int] = {}
     total, best = 0.0, 0.0
     lower = upper = digits = 0
@@ -127,12 +127,13 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """All rows and columns of `docs`; secrets are replaced by [SECRET], and `n_chars` follows.  Nothing is shuffled."""
-    schema = docs.schema
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    plain = docs.toDF(*names)
     at = docs.columns.index("text")
     length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, names[at]):
             texts = batch.column(at).to_pylist()
             new = [redact(t, found) if (found := scan(t)) else t for t in texts]
             columns = batch.columns
@@ -142,4 +143,5 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                 columns[length] = pa.array([len(n) if n is not t else o for n, t, o in zip(new, texts, old)], batch.schema.field(length).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.where(~_suspect(F.col("text"))).union(docs.where(_suspect(F.col("text"))).mapInArrow(kernel, schema))
+    text = F.col(names[at])
+    return plain.where(~_suspect(text)).union(plain.where(_suspect(text)).mapInArrow(kernel, plain.schema)).toDF(*docs.columns)
