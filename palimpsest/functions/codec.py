@@ -47,8 +47,22 @@ def undelta(a: Column) -> Column:
 
 
 def compress(a: Column) -> Column:
-    q = quantise(a)
-    return F.struct(delta(q["data"]).alias("data"), q["scale"].alias("scale"), q["zero_point"].alias("zero_point"))
+    """The quantised vector with delta-coded data."""
+
+    def each(v: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in v:
+            if x is None or not len(x):
+                rows.append((None, None, None))
+                continue
+            x = np.asarray(x, float)
+            low, span = x.min(), x.max() - x.min()
+            scale = span / 255.0 if span else 1.0
+            q = np.clip(np.floor((x - low) / scale + 0.5) - 128, -128, 127)
+            rows.append((np.diff(_bytes(q), prepend=np.int8(0)).astype(np.int8), scale, low))
+        return pd.DataFrame(rows, columns=["data", "scale", "zero_point"])
+
+    return F.pandas_udf(each, "data array<tinyint>, scale double, zero_point double")(a)
 
 
 def decompress(c: Column) -> Column:

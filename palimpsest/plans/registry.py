@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -684,9 +686,12 @@ def _(s, d):
 
 @query("f31_round_trip", "SELECT id, true AS near FROM v")
 def _(s, d):
-    back = codec.decompress(codec.compress(F.col("embedding")))
-    far = F.array_max(F.zip_with(back, F.col("embedding").cast("array<double>"), lambda a, b: F.abs(a - b)))
-    return V(s, d).select("id", (far <= codec.quantise(F.col("embedding"))["scale"]).alias("near"))
+    def far(v: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([float(np.abs(np.asarray(a) - np.asarray(b, float)).max()) for a, b in zip(v, w)])
+
+    packed = V(s, d).select("id", "embedding", codec.compress(F.col("embedding")).alias("c"))
+    error = F.pandas_udf(far, "double")(codec.decompress(F.col("c")), F.col("embedding"))
+    return packed.select("id", (error <= F.col("c.scale")).alias("near"))
 
 
 @query("f27_rle", "SELECT id, true AS same FROM m")
