@@ -177,6 +177,10 @@ def _encoder(path: str):
     return (lambda b: np.array(enc.encode_ordinary(b.decode()), np.int32)), sizes, by_id
 
 
+def _width(by_id: list[bytes]) -> str:
+    return "<u2" if len(by_id) <= 1 << 16 else "<u4"
+
+
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(hash, key, no) of every chunk."""
     for batch in slices(batches, "text"):
@@ -191,8 +195,9 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _encode_leaders(path: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(hash, ids) of the listed chunks of each text, ids as 4-byte numbers."""
-        encode, _, _ = _encoder(path)
+        """(hash, ids) of the listed chunks of each text, ids as numbers of the least width that holds them."""
+        encode, _, by_id = _encoder(path)
+        width = _width(by_id)
         for batch in slices(batches, "text"):
             data, borders = utf8(batch.column(0))
             ends, who = chunks(data, borders)
@@ -205,7 +210,7 @@ def _encode_leaders(path: str):
                     chunk = raw[starts[c] : ends[c]] if c < len(who) and who[c] == i else b""
                     if chunk and _digest(chunk) == d:  # else another text has the same key
                         hashes.append(d)
-                        out.append(encode(chunk).astype("<u4").tobytes())
+                        out.append(encode(chunk).astype(width).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(out, pa.binary())], names=["hash", "ids"])
 
     return kernel
@@ -229,6 +234,7 @@ def encode_text(data: bytes, starts: list[int], ends: list[int], known: dict[int
 def _encode(path: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sizes, by_id = _encoder(path)
+        width = _width(by_id)
         for batch in slices(batches, "text", 2_000_000):
             texts = batch.column(1)
             data, borders = utf8(texts)
@@ -240,7 +246,7 @@ def _encode(path: str):
                 own = raw[borders[i] : borders[i + 1]]
                 if chunk_ids:
                     a, b = np.searchsorted(who, [i, i + 1])
-                    known = {r["no"]: np.frombuffer(r["ids"], "<u4").astype(np.int32) for r in chunk_ids if r["no"] < b - a and _digest(raw[starts[a + r["no"]] : ends[a + r["no"]]]) == r["hash"]}
+                    known = {r["no"]: np.frombuffer(r["ids"], width).astype(np.int32) for r in chunk_ids if r["no"] < b - a and _digest(raw[starts[a + r["no"]] : ends[a + r["no"]]]) == r["hash"]}
                     ids = encode_text(own, (starts[a:b] - borders[i]).tolist(), (ends[a:b] - borders[i]).tolist(), known, encode, sizes)
                 else:
                     ids = encode(own)
