@@ -48,7 +48,7 @@ def test_relevance_of_unused_item(spark):
     assert one(spark, scoring.review_hours(F.col("s"), F.col("n")), s=("double", 0.0), n=("int", 1)) == 1.0
 
 
-@pytest.mark.parametrize("content, want", [("yesterday I fixed the bug", "Episodic"), ("Rust is a systems language", "Semantic"), ("Pattern: when error occurs, stop", "Procedural"), ("When it rains then stay", "Procedural"), (None, "Episodic"), ("", "Episodic")])
+@pytest.mark.parametrize("content, want", [("we met at the lake", "Episodic"), ("A heron is a bird", "Semantic"), ("Pattern: two lines and a dot", "Procedural"), ("When it rains then stay", "Procedural"), (None, "Episodic"), ("", "Episodic")])
 def test_classify(spark, content, want):
     assert one(spark, text.classify(F.col("t")), t=("string", content)) == want
 
