@@ -39,6 +39,8 @@ from .common import slices, utf8, written
 #: The split of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW, MASK = 32, (1 << 10) - 1
+#: Up to so many leading chunks, their places are broadcast (12 bytes each); beyond, texts are joined to them by key.
+BROADCAST_CHUNKS = 1_000_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: Between these two bytes every split has a border: no piece goes from a visible character on to white space.
 _SYNC = re.compile(rb"[\x21-\x7e][ \n\t\r]")
@@ -198,6 +200,7 @@ def _encode_leaders(path: str):
         """(hash, ids) of the listed chunks of each text, ids as numbers of the least width that holds them."""
         encode, _, by_id = _encoder(path)
         width = _width(by_id)
+        done: set[int] = set()
         for batch in slices(batches, "text"):
             data, borders = utf8(batch.column(0))
             ends, who = chunks(data, borders)
@@ -208,7 +211,8 @@ def _encode_leaders(path: str):
                 for n, d in zip(numbers, digests):
                     c = first[i] + n
                     chunk = raw[starts[c] : ends[c]] if c < len(who) and who[c] == i else b""
-                    if chunk and _digest(chunk) == d:  # else another text has the same key
+                    if chunk and d not in done and _digest(chunk) == d:  # else another text has the same key
+                        done.add(d)
                         hashes.append(d)
                         out.append(encode(chunk).astype(width).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(out, pa.binary())], names=["hash", "ids"])
@@ -235,6 +239,7 @@ def _encode(path: str):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sizes, by_id = _encoder(path)
         width = _width(by_id)
+        before: tuple = (None, None, None)
         for batch in slices(batches, "text", 2_000_000):
             texts = batch.column(1)
             data, borders = utf8(texts)
@@ -244,6 +249,10 @@ def _encode(path: str):
             out, same = [], []
             for i, chunk_ids in enumerate(reused):
                 own = raw[borders[i] : borders[i + 1]]
+                if own == before[0]:  # rows come sorted by key, so equal texts follow one another
+                    out.append(before[1])
+                    same.append(before[2])
+                    continue
                 if chunk_ids:
                     a, b = np.searchsorted(who, [i, i + 1])
                     known = {r["no"]: np.frombuffer(r["ids"], width).astype(np.int32) for r in chunk_ids if r["no"] < b - a and _digest(raw[starts[a + r["no"]] : ends[a + r["no"]]]) == r["hash"]}
@@ -254,6 +263,7 @@ def _encode(path: str):
                 if not right:  # two chunks of one hash
                     ids = encode(own)
                     right = b"".join(map(by_id.__getitem__, ids.tolist())) == own
+                before = own, ids, right
                 out.append(ids)
                 same.append(right)
             n = np.array([len(x) for x in out], np.int64)
@@ -266,20 +276,22 @@ def _encode(path: str):
     return kernel
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, broadcast_chunks: int = BROADCAST_CHUNKS) -> DataFrame:
     """(doc_id, ids, n_tokens, exact): the tokens of each row's text; `exact` says that they decode to the text."""
     path = path or default_vocabulary()
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     rows = written(base.where("text is not null").select("key", "text").mapInArrow(_chunk_rows, "hash bigint, key bigint, no int"), "chunk-rows")
-    repeated = rows.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("key", "no")).alias("lead")).where("n > 1").select("hash", "lead")
-    refs = written(rows.join(repeated, "hash").select("hash", "key", "no", (F.struct("key", "no") == F.col("lead")).alias("leads")).distinct(), "chunk-refs")
+    # places of a chunk are told apart by text: rows that repeat a whole text share nothing by it, they are encoded as one below
+    places = rows.distinct()
+    repeated = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("key", "no")).alias("lead")).where("n > 1").select("hash", "lead")
+    refs = written(places.join(repeated, "hash").select("hash", "key", "no", (F.struct("key", "no") == F.col("lead")).alias("leads")), "chunk-refs")
     leads = written(refs.where("leads").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("no", "hash"))).alias("c")).select("key", F.col("c.no").alias("no"), F.col("c.hash").alias("hash")), "chunk-leads")
-    # one small row a text that holds a leader: broadcast within the limit, else joined by key
-    few = leads.count() <= 500_000
+    # the numbers of the leading chunks, by text: broadcast within the limit, else joined by key
+    few = (leads.agg(F.sum(F.size("no"))).first()[0] or 0) <= broadcast_chunks
     texts = base.where("text is not null").join(F.broadcast(leads) if few else leads, "key").select("text", "no", "hash")
     encoded = written(texts.mapInArrow(_encode_leaders(path), "hash bigint, ids binary").dropDuplicates(["hash"]), "chunk-ids")
     known = refs.join(encoded, "hash").groupBy("key").agg(F.collect_list(F.struct("no", "hash", "ids")).alias("known"))
-    return base.join(known, "key", "left").select("doc_id", "text", "known").mapInArrow(_encode(path), "doc_id bigint, ids array<int>, n_tokens int, exact boolean")
+    return base.join(known.hint("merge"), "key", "left").select("doc_id", "text", "known").mapInArrow(_encode(path), "doc_id bigint, ids array<int>, n_tokens int, exact boolean")
 
 
 def decode_tokens(tokens: DataFrame, path: str | None = None, ids: str = "ids", to: str = "text") -> DataFrame:

@@ -46,13 +46,21 @@ def corpus():
     return [*rows, (50, shared, "en", "s"), (51, shared.replace(" ", ""), "en", "s"), (52, shared.replace(" ", "") + "z", "en", "s")]
 
 
-def test_corpus(made):
+@pytest.mark.parametrize("limit", [bpe.BROADCAST_CHUNKS, -1])
+def test_corpus(made, limit):
     d = made(corpus())
-    got = {r.doc_id: r for r in bpe.encode_documents(d).collect()}
+    got = {r.doc_id: r for r in bpe.encode_documents(d, broadcast_chunks=limit).collect()}
     for i, t, *_ in corpus():
         assert list(got[i].ids) == ENC.encode_ordinary(t) and got[i].exact and got[i].n_tokens == len(got[i].ids)
 
 
+def test_repeated_rows(made):
+    d = made(corpus()[:4] * 3)
+    got = bpe.encode_documents(d).collect()
+    want = {i: ENC.encode_ordinary(t) for i, t, *_ in corpus()[:4]}
+    assert len(got) == 12 and all(list(r.ids) == want[r.doc_id] and r.exact for r in got)
+
+
 def test_documents(docs):
     text = {r.doc_id: r.text for r in docs.collect()}
     tokens = bpe.encode_documents(docs)
