@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import djb2, embed_tokens
+from ..functions.text import embed_tokens
 from ..functions.vectors import normalised
 
 
@@ -19,16 +20,39 @@ def _dense(cells: DataFrame, m: DataFrame, dim: int) -> DataFrame:
     return m.select("id").join(packed, "id", "left").select("id", F.when(F.col("c").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(at).alias("e"))
 
 
+def _djb2(word: str) -> int:
+    h = 5381
+    for b in word.encode():
+        h = (h * 33 + b) & 0xFFFFFFFF
+    return h
+
+
 def hash_embed(m: DataFrame, dim: int = 256, stop: bool = True) -> DataFrame:
     """(id, embedding): tokens hashed to places, with a sign by the 16th bit, summed and brought to length 1.
 
-    Each distinct token is hashed once; cells are summed before they are shuffled.
+    Tokens come from the JVM; each distinct one of a batch is hashed once, and nothing is shuffled.
     """
-    t = m.select("id", F.explode(embed_tokens(F.col("content"), stop, apostrophe=stop)).alias("t"))
-    h = t.withColumn("h", djb2(F.col("t")))
-    sign = F.when(F.shiftright("h", 16).bitwiseAND(F.lit(1)) == 0, 1.0).otherwise(-1.0)
-    cells = h.groupBy("id", (F.col("h") % dim).cast("int").alias("idx")).agg(F.sum(sign).alias("x"))
-    return _dense(cells, m, dim).select("id", normalised(F.col("e")).alias("embedding"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                tokens = b.column(1)
+                off = tokens.offsets.to_numpy().astype(np.int64)
+                coded = tokens.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+                h = np.array([_djb2(w) for w in coded.dictionary.to_pylist()], np.int64)
+                x = np.zeros((b.num_rows, dim))
+                if len(h):
+                    k = coded.indices.to_numpy()
+                    who = np.repeat(np.arange(b.num_rows), np.diff(off))
+                    np.add.at(x, (who, (h % dim)[k]), np.where((h >> 16) & 1, -1.0, 1.0)[k])
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.divide(x, n, out=x, where=n > 0)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), rows], names=["id", "embedding"])
+
+    t = m.select("id", embed_tokens(F.col("content"), stop, apostrophe=stop).alias("t"))
+    return t.mapInArrow(kernel, f"id {dict(m.dtypes)['id']}, embedding array<double>")
 
 
 def vocabulary(m: DataFrame, dim: int) -> DataFrame:
