@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -257,6 +259,8 @@ def test_streams(spark, tmp_path):
 
     src = spark.read.parquet(str(DATA / "sf0.001/events.parquet"))
     src.withColumn("ts", F.col("ts").cast("timestamp")).repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
+    for k, f in enumerate(sorted((tmp_path / "in").glob("*.parquet"))):  # the stream takes files by age; rows must not come too late
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
     src = spark.read.parquet(str(tmp_path / "in"))
 
     def run(df, name, mode="append"):
