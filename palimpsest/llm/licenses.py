@@ -2,11 +2,13 @@
 
 The templates' tokens (lower-case runs of letters and digits) go into one suffix
 automaton.  A text is streamed through it, which gives at each token the length
-of the longest match that ends there and its state.  Matches that the next token
-doesn't extend, of MIN_MATCH tokens or more, are the anchors; for each template,
-anchors in the same order in text and template, with gaps of at most MAX_GAP
-tokens in either, are chained.  A chain that covers at least `coverage` of the
-template's tokens is a finding.
+of the longest match that ends there and its state; the state and its suffix
+links give the longest match with every place of every template.  Matches of
+MIN_MATCH tokens or more that the next token doesn't extend at that place,
+whether or not it extends one elsewhere, are the template's parts; parts in the
+same order in text and template, with gaps of at most MAX_GAP tokens in either,
+are chained.  A chain that covers at least `coverage` of the template's tokens is
+a finding, and so the findings of a template don't depend on the other templates.
 
 Defined cases: null and empty texts have no findings; a null doc_id is reported
 as null; repeated rows are reported once each; of overlapping findings of one
@@ -57,6 +59,8 @@ class Automaton(NamedTuple):
     length: list[int]
     #: By state: (template, end position) of its strings' occurrences.
     ends: list[list[tuple[int, int]]]
+    #: By template: its tokens, and None after the last.
+    tokens: list[list[int | None]]
 
 
 def build(templates: Mapping[str, str]) -> Automaton:
@@ -97,7 +101,7 @@ def build(templates: Mapping[str, str]) -> Automaton:
             link[new] = q if length[q] == length[p] + 1 else clone_of(p, c, q)
         return new
 
-    names, sizes = [], []
+    names, sizes, all_tokens = [], [], []
     for name, text in templates.items():
         tokens = [vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(text.lower())]
         if not tokens:
@@ -108,11 +112,12 @@ def build(templates: Mapping[str, str]) -> Automaton:
             ends[last].append((len(names), i + 1))
         names.append(name)
         sizes.append(len(tokens))
+        all_tokens.append([*tokens, None])
     # occurrences of a string are those of all the strings that end in it
     for s in sorted(range(1, len(length)), key=length.__getitem__, reverse=True):
         if link[s] > 0:
             ends[link[s]].extend(ends[s])
-    return Automaton(vocabulary, names, sizes, nxt, link, length, [sorted(set(e)) for e in ends])
+    return Automaton(vocabulary, names, sizes, nxt, link, length, [sorted(set(e)) for e in ends], all_tokens)
 
 
 def statistics(tokens: list[int | None], a: Automaton) -> Iterator[tuple[int, int]]:
@@ -163,28 +168,44 @@ def anchors(tokens: list[int | None], a: Automaton, min_match: int = MIN_MATCH)
     return found
 
 
-def chains(found: list[tuple[int, int, int]], a: Automaton, coverage: float = COVERAGE, max_gap: int = MAX_GAP) -> list[tuple[int, int, int, int]]:
-    """(template, first token, token after the last, template tokens covered), those that cover enough, without overlaps within a template."""
+def parts(tokens: list[int | None], a: Automaton, min_match: int = MIN_MATCH) -> dict[int, list[tuple[int, int, int, int]]]:
+    """By template: (start, end, template start, template end) of the matches that can be extended neither in the text nor at that place of the template."""
     by: dict[int, list[tuple[int, int, int, int]]] = {}
-    for end, size, state in found:
-        for t, e in a.ends[state]:
-            by.setdefault(t, []).append((end - size, end, e - size, e))
+    for i, (size, state) in enumerate(statistics(tokens, a), 1):
+        if size < min_match:
+            continue
+        after = tokens[i] if i < len(tokens) else None
+        seen: set[tuple[int, int]] = set()
+        while size >= min_match:
+            # places of a suffix link that its state lacks match in no more than the link's length
+            for t, e in a.ends[state]:
+                if (t, e) not in seen:
+                    seen.add((t, e))
+                    if after is None or a.tokens[t][e] != after:
+                        by.setdefault(t, []).append((i - size, i, e - size, e))
+            state = a.link[state]
+            size = a.length[state]
+    return by
+
+
+def chains(by: dict[int, list[tuple[int, int, int, int]]], a: Automaton, coverage: float = COVERAGE, max_gap: int = MAX_GAP) -> list[tuple[int, int, int, int]]:
+    """(template, first token, token after the last, template tokens covered), those that cover enough, without overlaps within a template."""
     out = []
-    for t, parts in by.items():
-        parts.sort()
-        best = [p[1] - p[0] for p in parts]
-        start = [p[0] for p in parts]
+    for t, runs in by.items():
+        runs.sort()
+        best = [p[1] - p[0] for p in runs]
+        start = [p[0] for p in runs]
         low = 0
-        for i, (s, e, ts, te) in enumerate(parts):
-            while parts[low][0] < s - a.sizes[t] - max_gap:
+        for i, (s, e, ts, te) in enumerate(runs):
+            while runs[low][0] < s - a.sizes[t] - max_gap:
                 low += 1
             for j in range(low, i):
-                _, pe, _, pte = parts[j]
+                _, pe, _, pte = runs[j]
                 # anchors may overlap; what the earlier one covers counts once
                 cut = max(0, pe - s, pte - ts)
                 if cut < e - s and -max_gap <= s - pe + cut <= max_gap and -max_gap <= ts - pte + cut <= max_gap and pte < te and pe < e and best[j] + e - s - cut > best[i]:
                     best[i], start[i] = best[j] + e - s - cut, start[j]
-        good = sorted((-best[i], start[i], parts[i][1]) for i in range(len(parts)) if best[i] >= coverage * a.sizes[t])
+        good = sorted((-best[i], start[i], runs[i][1]) for i in range(len(runs)) if best[i] >= coverage * a.sizes[t])
         kept: list[tuple[int, int]] = []
         for n, s, e in good:
             if all(e <= s2 or s >= e2 for s2, e2 in kept):
@@ -197,8 +218,8 @@ def scan(text: str | None, a: Automaton, coverage: float = COVERAGE) -> list[tup
     """(licence, start, end, template tokens covered, share covered); positions count characters."""
     low = (text or "").lower()
     tokens = list(map(a.vocabulary.get, WORD.findall(low)))
-    found = anchors(tokens, a)
-    spans = chains(found, a, coverage) if found else []
+    # most texts have no match at all
+    spans = chains(parts(tokens, a), a, coverage) if anchors(tokens, a) else []
     if not spans:
         return []
     if len(low) != len(text):  # lower case may change a text's length

@@ -30,6 +30,38 @@ def test_matching_statistics(words):
     assert licenses.anchors(tokens, a, 2) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(list("abcdez")), max_size=40))
+def test_parts_are_all_maximal_matches(words):
+    a = licenses.build(TOY)
+    want = {}
+    for k, t in enumerate(x.split() for x in TOY.values()):
+        for i in range(len(words)):
+            for j in range(len(t)):
+                n = 0
+                while i + n < len(words) and j + n < len(t) and words[i + n] == t[j + n]:
+                    n += 1
+                if n >= 2 and not (i and j and words[i - 1] == t[j - 1]):
+                    want.setdefault(k, set()).add((i, i + n, j, j + n))
+    got = licenses.parts([a.vocabulary.get(w) for w in words], a, 2)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(list("abcdez")), max_size=60))
+def test_a_template_is_found_whatever_the_others(words):
+    a, text = licenses.build(TOY), " ".join(words)
+    for name, t in TOY.items():
+        assert [h for h in licenses.scan(text, a) if h[0] == name] == licenses.scan(text, licenses.build({name: t}))
+
+
+def test_template_inside_a_longer_match():
+    a = licenses.build(licenses.TEMPLATES)
+    for text, end in (("Licensed under the Apache License, Version 2.0. The code is here.", 46), ('Licensed under the Apache License, Version 2.0 (the "License")', 46), (licenses.TEMPLATES["Apache-2.0"], 46)):
+        assert [h for h in licenses.scan(text, a) if h[0] == "Apache-2.0-notice"] == [("Apache-2.0-notice", 0, end, 8, 1.0)], text
+    assert {h[0] for h in licenses.scan(licenses.TEMPLATES["Apache-2.0"], a)} == {"Apache-2.0", "Apache-2.0-notice"}
+
+
 def test_templates_are_found_whole_and_edited():
     a = licenses.build(licenses.TEMPLATES)
     rng = random.Random(4)
