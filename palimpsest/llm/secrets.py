@@ -6,7 +6,9 @@ of the class's size; counts change by one character in and one out, and with
 them the entropy.  A window at or above the class's threshold, which also holds
 the kinds of characters that the class asks for, makes the candidate a secret.
 The allow-list suppresses candidates that are placeholders, digests named as
-such, or parts of URLs.
+such, or segments of a URL's path; of one that begins in the host, only what
+stands before the path counts.  User info, queries and fragments of URLs, and
+what follows a URL without white space, are scanned like other text.
 
 Defined cases: null and empty texts have no findings and come back as they are;
 a null doc_id is reported as null; repeated rows are reported once each; texts
@@ -52,7 +54,13 @@ CLASSES = (
 )
 
 ALLOWED_INSIDE = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|redacted|your[_-]|x{6,}|0{8,}|abcdefgh|12345678|(.)\1{7,}")
-ALLOWED_BEFORE = re.compile(r"(?i)(?:sha-?\d{1,3}|md5|checksum|digest|integrity|commit|revision|etag)[\"']?\s*[:=\-( ]\s*[\"']?$|://[^\s]*$|www\.[^\s]*$")
+ALLOWED_BEFORE = re.compile(r"(?i)(?:sha-?\d{1,3}|md5|checksum|digest|integrity|commit|revision|etag)[\"']?\s*[:=\-( ]\s*[\"']?\Z")
+#: What ends a URL's host or path: white space, quotes, brackets, separators, and the marks of queries, fragments and values.
+_STOP = r"\s?#\"'`<>()\[\]{},;|\\=&"
+#: A URL as far as the candidate, with its path, if that has begun; %3 encodes one of : ; < = > ?
+URL_BEFORE = re.compile(rf"(?i)(?:://|www\.)[^{_STOP}/]*(?P<path>/(?:(?!%3)[^{_STOP}:])*)?\Z")
+#: After user info, which may hold a slash that isn't encoded.
+HOST_AFTER = re.compile(rf"[^{_STOP}/]*@")
 BEFORE = 200
 
 
@@ -86,17 +94,38 @@ def best_entropy(run: str, kind: Class) -> float:
     return best
 
 
+def kind_of(word: str) -> tuple[str, float] | None:
+    """The first class that a candidate meets, and its entropy."""
+    for kind in CLASSES:
+        most = max((best_entropy(r, kind) for r in kind.run.findall(word) if len(r) >= kind.window), default=0.0)
+        if most >= kind.threshold:
+            return kind.name, most
+    return None
+
+
+def outside_path(text: str, start: int, end: int) -> str:
+    """The part of a candidate that belongs to no URL's path."""
+    word = text[start:end]
+    url = URL_BEFORE.search(text, max(0, start - BEFORE), start)
+    if url is None or HOST_AFTER.match(text, end):
+        return word
+    if url["path"] is None:
+        return word.partition("/")[0]
+    return word if text[start - 1] == "%" and word[0] == "3" else ""
+
+
 def scan(text: str | None) -> list[tuple[str, int, int, float]]:
     """(class, start, end, entropy) of the secrets of a text, in order."""
     found = []
     for m in _FIND.finditer(text or ""):
-        word = m[0]
-        for kind in CLASSES:
-            most = max((best_entropy(r, kind) for r in kind.run.findall(word) if len(r) >= kind.window), default=0.0)
-            if most >= kind.threshold:
-                if not ALLOWED_INSIDE.search(word) and not ALLOWED_BEFORE.search(text[max(0, m.start() - BEFORE) : m.start()]):
-                    found.append((kind.name, m.start(), m.end(), round(most, 4)))
-                break
+        kind = kind_of(m[0])
+        if kind is None or ALLOWED_INSIDE.search(m[0]) or ALLOWED_BEFORE.search(text, max(0, m.start() - BEFORE), m.start()):
+            continue
+        part = outside_path(text, *m.span())
+        if part != m[0]:
+            kind = kind_of(part)
+        if kind is not None:
+            found.append((kind[0], m.start(), m.end(), round(kind[1], 4)))
     return found
 
 
