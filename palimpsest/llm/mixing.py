@@ -13,8 +13,8 @@ Nothing is ordered in one place: streams are summed up in 4096 hash ranges for
 each source, slots in chunks of 65,536.
 
 Defined cases: null and empty texts hold no token and are not scheduled; so are
-rows with a null doc_id, and sources with no or zero weight where weights are
-given; a null source counts as the empty one; rows that repeat a doc_id are one
+rows with a null doc_id, unless `without_id` gives each a key of its own, and
+sources with no or zero weight where weights are given; a null source counts as the empty one; rows that repeat a doc_id are one
 document, that with most tokens (then the least source and text); an empty table
 gives an empty schedule.
 """
@@ -112,10 +112,22 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block:
     return slots.join(parts, ["source", "block"]).select("slot", "source", "epoch", "block", "doc_id", "tok_start", "tok_end")
 
 
-def mix_documents(docs: DataFrame, weights: Mapping[str, float] | None = None, **how) -> DataFrame:
-    """The rows of `docs` in the order of the schedule, each as often as its first token is scheduled; columns stay as they are."""
-    starts = schedule(docs, weights, **how).where("tok_start = 0").select(F.col("doc_id").alias("__id"), F.col("slot").alias("__slot"))
-    rows = one_per_id(docs, packed(docs), lambda c: [-token_count(c("text")), F.coalesce(c("source"), F.lit("")), F.xxhash64(c("text"))])
+def _keyed(docs: DataFrame) -> DataFrame:
+    """packed(docs), rows with a null doc_id under a key of their own: a hash of text and source, and a number among equal ones."""
+    rows = packed(docs)
+    text, source = F.col("__row.text"), F.coalesce("__row.source", F.lit(""))
+    none = rows.where("__doc is null").withColumn("__x", F.xxhash64(text, source))
+    number = F.row_number().over(Window.partitionBy("__x").orderBy(text, source))
+    key = F.xxhash64(F.lit("without id"), "__x", number)
+    return rows.where("__doc is not null").select(F.col("__doc").cast("bigint").alias("__doc"), "__row").union(none.select(key.alias("__doc"), "__row"))
+
+
+def mix_documents(docs: DataFrame, weights: Mapping[str, float] | None = None, without_id: bool = False, **how) -> DataFrame:
+    """The rows of `docs` in the order of the schedule, each as often as its first token is scheduled; columns stay as they are.  With `without_id` also rows with a null doc_id."""
+    packs = _keyed(docs) if without_id else packed(docs)
+    table = packs.select(F.col("__doc").alias("doc_id"), F.col("__row.source").alias("source"), F.col("__row.text").alias("text")) if without_id else docs
+    starts = schedule(table, weights, **how).where("tok_start = 0").select(F.col("doc_id").alias("__id"), F.col("slot").alias("__slot"))
+    rows = one_per_id(docs, packs, lambda c: [-token_count(c("text")), F.coalesce(c("source"), F.lit("")), F.xxhash64(c("text"))])
     placed = rows.join(starts, F.col("__doc") == F.col("__id"))
     return placed.repartitionByRange("__slot").sortWithinPartitions("__slot", "__id").select("__row.*")
 

@@ -74,6 +74,15 @@ def test_mix_documents(made, odd):
     assert mixing.schedule(d, {}).count() == mixing.schedule(d, {"a": 0.0}).count() == 0
 
 
+def test_rows_without_id(made):
+    d = made([*rows(9), (None, "one two", "en", "a"), (None, "one two", "en", "a"), (None, "one two", "fr", None), (None, None, "en", "a"), (None, "", "en", "a")])
+    got = Counter((r.doc_id, r.text, r.lang, r.source) for r in mixing.mix_documents(d, {"a": 1, "b": 1, "c": 1, "": 1}, without_id=True, block=1000).collect())
+    assert set(got) == {*rows(9), (None, "one two", "en", "a"), (None, "one two", "fr", None)}
+    assert got[None, "one two", "en", "a"] == 2 * got[0, "w", "en", "a"]
+    plain = lambda d, **how: [r.doc_id for r in mixing.mix_documents(d, block=16, **how).collect()]
+    assert plain(made(rows(9)), without_id=True) == plain(made(rows(9)))
+
+
 def test_clashing_columns(made):
     d = made(rows(9))
     for c in ("slot", "n", "start", "block", "x", "k", "sid", "a.b", "range"):

@@ -56,6 +56,17 @@ def test_odd_rows(spark, odd, tmp_path):
     assert docs.where("exact").count() == docs.count() > 0
 
 
+def test_rows_without_id_are_kept(spark, odd, made, tmp_path):
+    docs = odd.union(made([(None, "again and again", "en", "a"), (None, "again and again", "en", "a")]))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, docs, "").write.parquet(str(tmp_path / str(k)))
+        docs, before = spark.read.parquet(str(tmp_path / str(k))), docs
+        if name in ("secret scans", "mixing sources"):
+            assert {(r.doc_id, r.text) for r in docs.collect()} == {(r.doc_id, r.text) for r in before.collect()}
+    got = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert got[None, "no id here at all"] >= 1 and got[None, "again and again"] >= 2
+
+
 def test_empty_table(spark, odd):
     docs = odd.limit(0)
     for _, stage in corpus_pipeline.STAGES:
