@@ -55,8 +55,8 @@ def apply_quality(docs: DataFrame, floor: int = FLOOR, share: float = SHARE, min
     host = F.coalesce(F.col("d.source"), F.lit(""))
     if n <= broadcast_rows and most <= BROADCAST_PER_HOST:
         by_host = frequent.groupBy("host").agg(F.collect_list("line").alias("lines"))
-        spared = frequent.where("first is not null").groupBy("first").agg(F.collect_list("line").alias("spared"))
-        joined = docs.alias("d").join(F.broadcast(by_host.alias("h")), host == F.col("h.host"), "left").join(F.broadcast(spared.alias("s")), F.col("d.doc_id") == F.col("s.first"), "left")
+        spared = frequent.where("first is not null").groupBy("host", "first").agg(F.collect_list("line").alias("spared"))
+        joined = docs.alias("d").join(F.broadcast(by_host.alias("h")), host == F.col("h.host"), "left").join(F.broadcast(spared.alias("s")), (F.col("d.doc_id") == F.col("s.first")) & (host == F.col("s.host")), "left")
         gone = F.array_except(F.array_intersect(_hashes(F.col("d.text")), F.col("h.lines")), F.coalesce(F.col("s.spared"), F.array().cast("array<bigint>")))
     else:
         held = docs.where("text is not null").select(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("host"), F.explode(_hashes(F.col("text"))).alias("line"))

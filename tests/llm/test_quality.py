@@ -46,6 +46,15 @@ def test_brute_force(made, broadcast_rows):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+@pytest.mark.parametrize("broadcast_rows", [quality.BROADCAST_ROWS, -1])
+def test_one_id_under_two_hosts(made, broadcast_rows):
+    # 5 is the first document of the line in b, not in a
+    rows = [(i, f"common line here\nown line number {i}", "en", "a") for i in range(8)] + [(i, f"common line here\nown line number {i}", "en", "b") for i in range(5, 13)]
+    got = quality.apply_quality(made(rows), floor=3, share=0.0, broadcast_rows=broadcast_rows).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute(rows, 3, 0.0, quality.MIN_KEPT)
+    assert {(r.doc_id, r.source) for r in got if r.text.startswith("common")} == {(0, "a"), (5, "b")}
+
+
 def test_share_of_host(made):
     rows = [(i, f"common line\nown line {i}", "en", "h") for i in range(10)]
     assert brute(rows, 3, 0.95, 0.3) == sorted(((r.doc_id, r.text) for r in quality.apply_quality(made(rows), 3, 0.95).collect()), key=str)
