@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 REDACTED = "[SECRET]"
@@ -57,14 +57,14 @@ CLASSES = (
 )
 
 ALLOWED_INSIDE = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|redacted|your[_-]|x{6,}|0{8,}|abcdefgh|12345678|(.)\1{7,}")
-ALLOWED_BEFORE = re.compile(r"(?i)(?:sha-?\d{1,3}|md5|checksum|digest|integrity|commit|revision|etag)[\"']?\s*[:=\-( ]\s*[\"']?\Z")
+#: What names a digest, in its longest form.
+_DIGEST = re.compile(r"(?i)(?:sha-?\d{1,3}|md5|checksum|digest|integrity|commit|revision|etag)\Z")
+_DIGEST_SIZE = 9
 #: What ends a URL's host or path: white space, quotes, brackets, separators, and the marks of queries, fragments and values.
-_STOP = r"\s?#\"'`<>()\[\]{},;|\\=&"
-#: A URL as far as the candidate, with its path, if that has begun; %3 encodes one of : ; < = > ?
-URL_BEFORE = re.compile(rf"(?i)(?:://|www\.)[^{_STOP}/]*(?P<path>/(?:(?!%3)[^{_STOP}:])*)?\Z")
-#: After user info, which may hold a slash that isn't encoded.
-HOST_AFTER = re.compile(rf"[^{_STOP}/]*@")
-BEFORE = 200
+_STOP = re.compile(r"[\s?#\"'`<>()\[\]{},;|\\=&]")
+#: What matters in a run without those: the beginnings of URLs, path marks, and what no path holds; %3 encodes one of : ; < = > ?
+_MARK = re.compile(r"(?i)://|www\.|/|:|%3")
+_HOST_END = re.compile(rf"{_STOP.pattern[:-1]}/]")
 
 
 def best_entropy(run: str, kind: Class) -> float:
@@ -106,13 +106,84 @@ def kind_of(word: str) -> tuple[str, float] | None:
     return None
 
 
-def outside_path(text: str, start: int, end: int) -> str:
+def names_digest(text: str, at: int) -> bool:
+    """Whether the name of a digest, a separator (one of : = - ( or a blank) and perhaps quotes and white space stand before a place."""
+    if at and text[at - 1] in "\"'":
+        at -= 1
+    end = at
+    while at and text[at - 1].isspace():
+        at -= 1
+    if at and text[at - 1] in ":=-(":
+        at -= 1
+        while at and text[at - 1].isspace():
+            at -= 1
+    elif " " not in text[at:end]:
+        return False
+    if at and text[at - 1] in "\"'":
+        at -= 1
+    return _DIGEST.search(text, max(0, at - _DIGEST_SIZE), at) is not None
+
+
+class Urls:
+    """Where a text's candidates stand in URLs; candidates are asked for in order, and the text is read once."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, 0
+        #: The beginnings of the first URL in whose host, and of the first in whose path, the text read so far ends.
+        self.now: tuple[int | None, int | None] = (None, None)
+        self.stop = self.mail = -1
+
+    @staticmethod
+    def _after(now: tuple[int | None, int | None], mark: str, at: int) -> tuple[int | None, int | None]:
+        host, path = now
+        if mark[0] in ":%":
+            path = None
+        if mark in ("/", "://") and host is not None:
+            host, path = None, host if path is None else min(path, host)
+        if host is None and (mark == "://" or mark[0] in "wW"):
+            host = at
+        return host, path
+
+    def before(self, start: int) -> str | None:
+        """"host" or "path", by the first URL that reaches up to a place; None if there is none."""
+        for m in _STOP.finditer(self.text, self.at, start):
+            self.at, self.now = m.end(), (None, None)
+        now = None
+        for m in _MARK.finditer(self.text, self.at, start + 2):
+            if m.end() > start:
+                # of a mark that goes on beyond the place, what stands before it counts here, the whole for later places
+                now = self.now
+                for i in range(m.start(), start):
+                    now = self._after(now, self.text[i], i) if self.text[i] in ":/" else now
+                self.at = min(m.start(), start)
+                break
+            self.now = self._after(self.now, m[0], m.start())
+            self.at = m.end()
+        else:
+            self.at = max(self.at, start - 3)  # where a mark that goes on beyond the place may begin
+        host, path = now or self.now
+        if host is None and path is None:
+            return None
+        return "path" if host is None or path is not None and path < host else "host"
+
+    def user_info(self, end: int) -> bool:
+        """Whether an @ follows before the host ends: user info may hold a slash that isn't encoded."""
+        if self.stop < end:
+            m = _HOST_END.search(self.text, end)
+            self.stop = m.start() if m else len(self.text)
+        if self.mail < end:
+            found = self.text.find("@", end)
+            self.mail = found if found >= 0 else len(self.text)
+        return self.mail < self.stop
+
+
+def outside_path(text: str, start: int, end: int, urls: Urls) -> str:
     """The part of a candidate that belongs to no URL's path."""
     word = text[start:end]
-    url = URL_BEFORE.search(text, max(0, start - BEFORE), start)
-    if url is None or HOST_AFTER.match(text, end):
+    within = urls.before(start)
+    if within is None or urls.user_info(end):
         return word
-    if url["path"] is None:
+    if within == "host":
         return word.partition("/")[0]
     return word if text[start - 1] == "%" and word[0] == "3" else ""
 
@@ -120,11 +191,12 @@ def outside_path(text: str, start: int, end: int) -> str:
 def scan(text: str | None) -> list[tuple[str, int, int, float]]:
     """(class, start, end, entropy) of the secrets of a text, in order."""
     found = []
+    urls = Urls(text or "")
     for m in _FIND.finditer(text or ""):
         kind = kind_of(m[0])
-        if kind is None or ALLOWED_INSIDE.search(m[0]) or ALLOWED_BEFORE.search(text, max(0, m.start() - BEFORE), m.start()):
+        if kind is None or ALLOWED_INSIDE.search(m[0]) or names_digest(text, m.start()):
             continue
-        part = outside_path(text, *m.span())
+        part = outside_path(text, *m.span(), urls)
         if part != m[0]:
             kind = kind_of(part)
         if kind is not None:
@@ -154,7 +226,7 @@ def _suspect(text: F.Column) -> F.Column:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, start, end, entropy), a row for each secret; the JVM finds the texts with candidates, and only these reach Python."""
     some = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(_suspect(F.col("text")))
-    return some.mapInArrow(_scan, "doc_id bigint, kind string, start int, end int, entropy double")
+    return mapped(some, _scan, "doc_id bigint, kind string, start int, end int, entropy double")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
@@ -176,4 +248,4 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     text = F.col(names[at])
-    return plain.where(~_suspect(text)).union(plain.where(_suspect(text)).mapInArrow(kernel, plain.schema)).toDF(*docs.columns)
+    return plain.where(~_suspect(text)).union(mapped(plain.where(_suspect(text)), kernel, plain.schema)).toDF(*docs.columns)

@@ -1,6 +1,8 @@
 import math
 import random
+import re
 import string
+import time
 from collections import Counter
 
 from palimpsest.llm import secrets
@@ -90,3 +92,43 @@ def test_clashing_columns(made):
     d = made([(1, "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "en", "s")]).withColumn("kind", F.lit(1)).withColumn("start", F.lit(2)).withColumn("a.b", F.lit(3))
     assert secrets.find_secrets(d).count() == 1
     assert secrets.redact_secrets(d).columns == d.columns and secrets.redact_secrets(d).first().text == "[SECRET]"
+
+
+def test_urls_and_digests_against_regular_expressions():
+    """The single pass over a text agrees with expressions that look back to its beginning."""
+    stop = r"\s?#\"'`<>()\[\]{},;|\\=&"
+    before = re.compile(rf"(?i)(?:://|www\.)[^{stop}/]*(?P<path>/(?:(?!%3)[^{stop}:])*)?\Z")
+    mail = re.compile(rf"[^{stop}/]*@")
+    digest = re.compile(r"(?i)(?:sha-?\d{1,3}|md5|checksum|digest|integrity|commit|revision|etag)[\"']?\s*[:=\-( ]\s*[\"']?\Z")
+
+    def outside(text, start, end):
+        word, url = text[start:end], before.search(text, 0, start)
+        if url is None or mail.match(text, end):
+            return word
+        if url["path"] is None:
+            return word.partition("/")[0]
+        return word if text[start - 1] == "%" and word[0] == "3" else ""
+
+    rng = random.Random(3)
+    key = "9b0b3c6a43eb78aa99cb"
+    pieces = ["://", "www.", "WWW.", "/", ":", "%3", "%", "3", "@", " ", "a", ".", ",", "=", key, key + "/x", "//" + key, "3" + key, key + "www", "http", "?"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        urls = secrets.Urls(text)
+        for m in secrets._FIND.finditer(text):
+            assert secrets.outside_path(text, *m.span(), urls) == outside(text, *m.span()), text
+    pieces = ["sha256", "SHA-1", "md5", "digest", "etag", "x", "'", '"', " ", "  ", "\n", ":", "=", "-", "(", "revision", ".", "\t"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 7)))
+        assert secrets.names_digest(text, len(text)) == (digest.search(text) is not None), text
+
+
+def test_allow_list_looks_back_however_far():
+    key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    for n in (10, 60, 5000):
+        assert secrets.scan(f"see https://x.org/{'a.b.' * n}/{key}") == secrets.scan(f"sha256:{' ' * n}{key}") == []
+        assert len(secrets.scan(f"see https://x.org/?q={'a.b.' * n}{key}")) == 1
+    for text in ("://" + f"{key}." * 20_000, f"x.org/{key}." * 20_000):  # in proportion to the length
+        began = time.perf_counter()
+        assert len(secrets.scan(text)) in (1, 20_000)
+        assert time.perf_counter() - began < 20
