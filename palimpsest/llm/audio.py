@@ -10,8 +10,8 @@ before the first more than OFF_DB below it.  Each segment is cut into tensors of
 The test tables have no audio; the registered query reads the UTF-8 bytes of each
 document as the samples of a clip at 22,050 Hz.
 
-Defined cases: a null or empty clip has no segment and no row; a clip shorter
-than a frame is filled up with silence to one; a constant clip is silent and has
+Defined cases: a null or empty clip has no segment and no row; clips
+are filled up with silence to whole frames, one at least; a constant clip is silent and has
 no segment; a null id is reported as null; repeated rows are reported once each;
 clips are processed whole; an empty table gives an empty one.
 """
@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import mapped
+
 RATE_IN, RATE = 22_050, 16_000
 FRAME, HOP, FFT, MELS, PATCH = 400, 160, 512, 40, 32
 TAPS = 16
@@ -86,8 +88,8 @@ def log_mel(y: np.ndarray, block: int = 2_000) -> tuple[np.ndarray, np.ndarray]:
     """(frames, MELS) log10 mel power, and each frame's energy in dB."""
     if not len(y):
         return np.zeros((0, MELS), np.float32), np.zeros(0, np.float32)
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
+    # the last frame is filled up with silence, so that every sample is in a frame
+    y = np.concatenate([y, np.zeros(max(0, -(-(len(y) - FRAME) // HOP)) * HOP + FRAME - len(y), np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     mels, energy = [], []
     for a in range(0, len(frames), block):
@@ -153,7 +155,7 @@ def audio_features(media: DataFrame, key: str, clip: Column, rate: int = RATE_IN
                     tensor = pa.ListArray.from_arrays(pa.array(np.arange(len(columns[0]) + 1, dtype=np.int32) * (PATCH * MELS)), pa.array(values))
                     yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[:6], (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int32()))), tensor], names=SCHEMA.names)
 
-    return media.select(F.col(key).cast("bigint").alias("id"), clip.cast("binary").alias("clip")).where("clip is not null").mapInArrow(kernel, SCHEMA)
+    return mapped(media.select(F.col(key).cast("bigint").alias("id"), clip.cast("binary").alias("clip")).where("clip is not null"), kernel, SCHEMA)
 
 
 def tensors(features: pa.Table) -> pa.Table:
@@ -185,4 +187,4 @@ def write_tensors(features: DataFrame, uri: str) -> DataFrame:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows], pa.int64())], names=["file", "rows"])
 
-    return features.mapInArrow(kernel, "file string, rows bigint")
+    return mapped(features, kernel, "file string, rows bigint")

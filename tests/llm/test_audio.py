@@ -27,9 +27,11 @@ def test_polyphase(source, target):
 
 
 def test_log_mel():
-    y = np.random.default_rng(1).normal(size=2_000).astype(np.float32)
+    y = np.random.default_rng(1).normal(size=2_100).astype(np.float32)
     mels, energy = audio.log_mel(y, block=3)
-    assert len(mels) == len(energy) == 1 + (len(y) - audio.FRAME) // audio.HOP
+    assert [len(audio.log_mel(y[:n])[0]) for n in (1, 400, 401, 560, 561, 2_000)] == [1, 1, 2, 2, 3, 11]
+    assert len(mels) == len(energy) == 12
+    y = np.concatenate([y, np.zeros(60, np.float32)])  # the last 20 samples are in a frame that silence fills up
     for k in (0, 4, len(mels) - 1):
         w = y[k * audio.HOP :][: audio.FRAME] * audio._HANN
         f = np.arange(audio.FFT // 2 + 1)[:, None]
