@@ -1,4 +1,5 @@
 import random
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,6 +78,49 @@ def test_templates_are_found_whole_and_edited():
             assert name not in {h[0] for h in licenses.scan(" ".join(words[: len(words) // 2]), a)}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(list("abcdez")), max_size=25), st.integers(0, 3))
+def test_chains_against_brute_force(words, gap):
+    a = licenses.build(TOY)
+    for t, runs in licenses.parts([a.vocabulary.get(w) for w in words], a, 2).items():
+        runs.sort()
+        follow = {i: [] for i in range(len(runs))}
+        for j, (ps, pe, pts, pte) in enumerate(runs):
+            for i, (s, e, ts, te) in enumerate(runs):
+                cut = max(0, pe - s, pte - ts)
+                if j < i and ps >= s - a.sizes[t] - gap and cut < e - s and abs(s - pe + cut) <= gap and abs(ts - pte + cut) <= gap and pe < e and pte < te:
+                    follow[j].append((i, e - s - cut))
+        most = {}
+
+        def walk(i, covered, start):
+            most.setdefault(i, set()).add((covered, start))
+            for k, n in follow[i]:
+                walk(k, covered + n, start)
+
+        for i, p in enumerate(runs):
+            walk(i, p[1] - p[0], p[0])
+        best, start = licenses.best_chains(runs, a.sizes[t], gap)
+        for i in range(len(runs)):
+            assert best[i] == max(n for n, _ in most[i]) and (best[i], start[i]) in most[i]
+
+
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(0, 30), st.integers(1, 6)), max_size=25))
+def test_overlaps_against_brute_force(raw):
+    spans = [(n, s, s + w) for n, s, w in raw]
+    kept = []
+    for n, s, e in sorted(spans, key=lambda x: (-x[0], x[1], x[2])):
+        if all(e <= s2 or s >= e2 for _, s2, e2 in kept):
+            kept.append((n, s, e))
+    assert licenses.without_overlaps(spans) == kept
+
+
+def test_repeated_notices_take_time_in_proportion():
+    a = licenses.build(licenses.TEMPLATES)
+    began = time.perf_counter()
+    assert len(licenses.scan("All rights reserved. " * 50_000, a)) == 50_000
+    assert time.perf_counter() - began < 10
+
+
 def test_chains_do_not_cross_gaps():
     a = licenses.build({"t": "one two three four five six seven eight"})
     near = "one two three four x x five six seven eight"
