@@ -11,7 +11,9 @@ else are dropped (they begin no repeat); the others carry the words that a
 window around their pick can reach.  They are sorted by multikey quicksort to a
 shallow depth, and by blind tries within the groups that are still equal there;
 the longest common prefixes of neighbours, with the words before the picks, give
-the repeated windows.  Words are compared by 32-bit hashes, windows thus by L of
+the repeated windows.  A fingerprint of more than HOT suffixes, such as a notice
+that millions of documents hold, is not gathered in one task: its windows are
+hashed and counted instead.  Words are compared by 32-bit hashes, windows thus by L of
 them in a row.
 
 Defined cases: null and empty texts and those of fewer than L words have no
@@ -29,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, one_per_id, packed, slices, utf8, written
+from .common import mapped, mix64, one_per_id, packed, slices, utf8, written
 
 L, S = 50, 26
 W = L - S + 1
 LEFT, RIGHT = W - 1, L
 SHALLOW, SMALL = 8, 16
+#: Suffixes of one fingerprint that one task sorts, 296 bytes each.  Beyond, their windows are counted by hash, over all tasks; the results are the same.
+HOT = 200_000
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
 _P, _Q = 0x5851F42D4C957F2D, 0x9E6C63D0876A9A47
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -136,6 +140,27 @@ def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(f[a : a + 20_000]), pa.array(ids[a : a + 20_000]), pa.array(p[a : a + 20_000]), raw], names=["fp", "doc_id", "pos", "words"])
 
 
+def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, doc_id, pos, start) of every window of L words around each pick; k1 and k2 hash the window, its pick's fingerprint and place in it."""
+    back = np.arange(W)[None, :]
+    for batch in slices(batches, "text", 2_000_000):
+        words, borders = words_of(*utf8(batch.column(1)))
+        pos, fp = batch.column(2), batch.column(3)
+        off = pos.offsets.to_numpy()
+        p = pos.values.to_numpy()[off[0] : off[-1]]
+        f = fp.values.to_numpy()[off[0] : off[-1]].view(np.uint64)
+        who = np.repeat(np.arange(batch.num_rows), np.diff(off))
+        for a in range(0, len(p), 10_000):
+            o, q = who[a : a + 10_000], p[a : a + 10_000]
+            start = (borders[o] + q)[:, None] - back
+            row, b = np.nonzero((start >= borders[o][:, None]) & (start + L <= borders[o + 1][:, None]))
+            start = start[row, b]
+            k1 = mix64(_ranges(words, start, start + L, _Q) ^ f[a : a + 10_000][row])
+            k2 = mix64(_ranges(words, start, start + L, _P) + b.astype(np.uint64))
+            own = [batch.column(0).to_numpy()[o][row], q[row], (start - borders[o][row]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), *map(pa.array, own)], names=["k1", "k2", "doc_id", "pos", "start"])
+
+
 def _common(a: bytes, b: bytes) -> int:
     """The length in words of the common prefix of two different strings of equal length."""
     low, high = 0, len(a) // 4 - 1
@@ -282,15 +307,28 @@ def _repeats(keep_first: bool):
     return kernel
 
 
-def repeated_passages(docs: DataFrame, keep_first: bool = False) -> DataFrame:
+def _hot_repeats(windows: DataFrame, keep_first: bool) -> DataFrame:
+    """(doc_id, start_word, end_word): around each pick, the windows that occur again; counts are combined before they are shuffled."""
+    again = windows.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where("n > 1").drop("n")
+    hit = windows.join(again, ["k1", "k2"])
+    if keep_first:
+        hit = hit.where(F.struct("doc_id", "start") != F.col("first"))
+    return hit.groupBy("doc_id", "pos").agg(F.min("start").alias("start_word"), (F.max("start") + L).cast("int").alias("end_word")).drop("pos")
+
+
+def repeated_passages(docs: DataFrame, keep_first: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word): the spans of words that lie in a repeated window of L words."""
     rows = one_per_id(docs, packed(docs.select("doc_id", "text")), lambda c: [F.xxhash64(c("text")), c("text")])
     texts = rows.select(F.col("__doc").cast("bigint").alias("doc_id"), F.col("__row.text").alias("text")).where("doc_id is not null and text is not null")
-    all_picks = texts.mapInArrow(_pick_rows, "fp bigint, doc_id bigint, pos int")
+    all_picks = mapped(texts, _pick_rows, "fp bigint, doc_id bigint, pos int")
     twice = all_picks.withColumn("n", F.count("*").over(Window.partitionBy("fp"))).where("n > 1")
-    by_doc = written(twice.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "fp")).alias("p")).select("doc_id", F.col("p.pos").alias("pos"), F.col("p.fp").alias("fp")), "suffix-picks")
-    suffixes = texts.join(by_doc, "doc_id").select("doc_id", "text", "pos", "fp").mapInArrow(_suffix_rows, "fp bigint, doc_id bigint, pos int, words binary")
-    windows = suffixes.repartition("fp").mapInArrow(_repeats(keep_first), "doc_id bigint, start_word int, end_word int")
+    place = F.struct("pos", "fp")
+    by_doc = written(twice.groupBy("doc_id").agg(*[F.collect_list(F.when(is_hot, place)).alias(c) for c, is_hot in (("cold", F.col("n") <= hot), ("hot", F.col("n") > hot))]), "suffix-picks")
+    picked = lambda c: texts.join(by_doc.where(F.size(c) > 0).select("doc_id", F.col(f"{c}.pos").alias("pos"), F.col(f"{c}.fp").alias("fp")), "doc_id").select("doc_id", "text", "pos", "fp")
+    suffixes = mapped(picked("cold"), _suffix_rows, "fp bigint, doc_id bigint, pos int, words binary")
+    windows = mapped(suffixes.repartition("fp"), _repeats(keep_first), "doc_id bigint, start_word int, end_word int")
+    if not by_doc.where("size(hot) > 0").isEmpty():
+        windows = windows.union(_hot_repeats(mapped(picked("hot"), _hot_windows, "k1 bigint, k2 bigint, doc_id bigint, pos int, start int"), keep_first))
     w = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = windows.withColumn("new", F.when(reach >= F.col("start_word"), 0).otherwise(1))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -78,7 +79,8 @@ def test_equal_windows_have_equal_picks():
     assert all(p + S <= (300 if p < 300 else 900) for p in g)
 
 
-def test_brute_force(made):
+@pytest.mark.parametrize("hot", [suffixes.HOT, 2, 0])
+def test_brute_force(made, hot):
     rng = random.Random(3)
     word = lambda: rng.choice("abcdefghij") + str(rng.randint(0, 400))
     base = [[word() for _ in range(rng.randint(0, 260))] for _ in range(24)]
@@ -91,7 +93,9 @@ def test_brute_force(made):
             b[y:y] = a[x : x + n]
     base += [["tick", "tock"] * 70, ["same"] * 130, ["same"] * 49]
     rows = [(i, " ".join(w)) for i, w in enumerate(base)]
-    assert spans(suffixes.repeated_passages(made([(i, t, "en", "s") for i, t in rows]))) == brute(rows)
+    d = made([(i, t, "en", "s") for i, t in rows])
+    assert spans(suffixes.repeated_passages(d, hot=hot)) == brute(rows)
+    assert spans(suffixes.repeated_passages(d, True, hot)) == spans(suffixes.repeated_passages(d, True))
 
 
 def test_documents(spark, docs):
