@@ -10,7 +10,8 @@ holds every block, so no document is lost; a source above its natural share
 repeats.  Without given weights, a source's is its tokens to the power `alpha`.
 
 Nothing is ordered in one place: streams are summed up in 4096 hash ranges for
-each source, slots in chunks of 65,536.
+each source, slots in chunks of 65,536.  Only the sources' totals and weights are
+held by the driver, some 100 bytes for each source.
 
 Defined cases: null and empty texts hold no token and are not scheduled; so are
 rows with a null doc_id, unless `without_id` gives each a key of its own, and
@@ -28,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import one_per_id, packed, token_count, written
+from .common import mapped, one_per_id, packed, token_count, written
 
 BLOCK, ALPHA, SEED = 2048, 0.7, 1
 BITS = 48
 CHUNK = 1 << 16
 #: The count of van der Corput points in an interval is off by at most 2 (log2(N) / 3 + 1), which is under 34 for 48 bits.
 SLACK = 34
-MOST_SOURCES = 5_000_000
 #: Multipliers of the orders after the first epoch; a count of blocks below 2^48 is no multiple of two of them.
 PRIMES = (16777213, 16777199)
 SCHEDULE = "slot bigint, source string, epoch bigint, block bigint, doc_id bigint, tok_start bigint, tok_end bigint"
@@ -87,9 +87,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block:
     """A row for each part of a document in each slot: (slot, source, epoch, block, doc_id, tok_start, tok_end)."""
     spark = docs.sparkSession
     placed = written(streams(docs, block, seed), "mix-streams")
-    totals = sorted((r["source"], r["t"]) for r in placed.groupBy("source").agg(F.sum("n").alias("t")).limit(MOST_SOURCES + 1).collect())
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; merge them before mixing")
+    totals = sorted((r["source"], r["t"]) for r in placed.groupBy("source").agg(F.sum("n").alias("t")).collect())
     share = [(s, t, float(t) ** alpha if weights is None else float(weights.get(s, 0.0))) for s, t in totals]
     share = [(s, -(-t // block), w) for s, t, w in share if w > 0]
     if not share:
@@ -98,7 +96,7 @@ def schedule(docs: DataFrame, weights: Mapping[str, float] | None = None, block:
     thresholds = np.floor(cumulative / cumulative[-1] * float(1 << BITS)).astype(np.int64)
     most = max(int(np.ceil((n + SLACK) / (w / cumulative[-1]))) for _, n, w in share)
     sources = spark.createDataFrame([(k, s, int(n)) for k, (s, n, _) in enumerate(share)], "sid bigint, source string, blocks bigint")
-    raw = spark.range(-(-most // CHUNK)).mapInArrow(_slots(thresholds[:-1]), "slot bigint, sid bigint, chunk bigint, rank bigint")
+    raw = mapped(spark.range(-(-most // CHUNK)), _slots(thresholds[:-1]), "slot bigint, sid bigint, chunk bigint, rank bigint")
     counts = raw.groupBy("sid", "chunk").count()
     before = counts.select("sid", "chunk", (F.sum("count").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("count")).alias("before"))
     ranked = written(raw.join(before, ["sid", "chunk"]).select("slot", "sid", (F.col("before") + F.col("rank")).alias("k")).join(sources, "sid"), "mix-slots")
