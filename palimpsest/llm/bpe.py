@@ -24,7 +24,6 @@ import base64
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from importlib.util import find_spec
 from pathlib import Path
 
 import numpy as np
@@ -34,11 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import mapped, slices, utf8, written
 
+#: The public byte-level ranks where they are installed; each executor needs the file at the path that is given.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WINDOW, MASK = 32, (1 << 10) - 1
+#: Bytes that are hashed at once.
+BLOCK = 1 << 17
 #: Up to so many leading chunks, their places are broadcast (12 bytes each); beyond, texts are joined to them by key.
 BROADCAST_CHUNKS = 1_000_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -46,11 +49,6 @@ _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 _SYNC = re.compile(rb"[\x21-\x7e][ \n\t\r]")
 
 
-def default_vocabulary() -> str:
-    """The place of the public byte-level ranks, where they are installed."""
-    return str(Path(find_spec("public_tokenizers").origin).parent / "byte_bpe_50k.tiktoken")
-
-
 @lru_cache(2)
 def vocabulary(path: str) -> tuple[tiktoken.Encoding, list[bytes]]:
     """The encoder, and the bytes of each token."""
@@ -61,14 +59,20 @@ def vocabulary(path: str) -> tuple[tiktoken.Encoding, list[bytes]]:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), by_id
 
 
-def cuts(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Chunk ends within each of the texts that `borders` mark in `data`, and the text of each; an end is moved on to a character's first byte."""
+def _roll(data: np.ndarray, skip: int) -> np.ndarray:
+    """The places after the first `skip` bytes behind which the hash of the last WINDOW bytes has its low bits zero."""
     h = _GEAR[data]
     width = 1
     while width < WINDOW:
         h[width:] += h[:-width].copy() << np.uint32(width)
         width *= 2
-    at = np.nonzero((h & np.uint32(MASK << 16)) == 0)[0] + 1
+    at = np.flatnonzero((h & np.uint32(MASK << 16)) == 0) + 1
+    return at[at > skip]
+
+
+def cuts(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk ends within each of the texts that `borders` mark in `data`, and the text of each; an end is moved on to a character's first byte."""
+    at = np.concatenate([_roll(data[max(0, a - WINDOW) : a + BLOCK], min(a, WINDOW)) + max(0, a - WINDOW) for a in range(0, len(data), BLOCK)]) if len(data) else np.zeros(0, np.int64)
     for _ in range(3):
         inside = at < len(data)
         at[inside] += (data[at[inside]] & 0xC0) == 0x80
@@ -240,7 +244,7 @@ def _encode(path: str):
         encode, sizes, by_id = _encoder(path)
         width = _width(by_id)
         before: tuple = (None, None, None)
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text"):
             texts = batch.column(1)
             data, borders = utf8(texts)
             reused = batch.column(2).to_pylist()
@@ -276,11 +280,11 @@ def _encode(path: str):
     return kernel
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, broadcast_chunks: int = BROADCAST_CHUNKS) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str = VOCABULARY, broadcast_chunks: int = BROADCAST_CHUNKS) -> DataFrame:
     """(doc_id, ids, n_tokens, exact): the tokens of each row's text; `exact` says that they decode to the text."""
-    path = path or default_vocabulary()
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    rows = written(base.where("text is not null").select("key", "text").mapInArrow(_chunk_rows, "hash bigint, key bigint, no int"), "chunk-rows")
+    texts, none = base.where("text is not null"), base.where("text is null")
+    rows = written(mapped(texts.select("key", "text"), _chunk_rows, "hash bigint, key bigint, no int"), "chunk-rows")
     # places of a chunk are told apart by text: rows that repeat a whole text share nothing by it, they are encoded as one below
     places = rows.distinct()
     repeated = places.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("key", "no")).alias("lead")).where("n > 1").select("hash", "lead")
@@ -288,15 +292,16 @@ def encode_documents(docs: DataFrame, path: str | None = None, broadcast_chunks:
     leads = written(refs.where("leads").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("no", "hash"))).alias("c")).select("key", F.col("c.no").alias("no"), F.col("c.hash").alias("hash")), "chunk-leads")
     # the numbers of the leading chunks, by text: broadcast within the limit, else joined by key
     few = (leads.agg(F.sum(F.size("no"))).first()[0] or 0) <= broadcast_chunks
-    texts = base.where("text is not null").join(F.broadcast(leads) if few else leads, "key").select("text", "no", "hash")
-    encoded = written(texts.mapInArrow(_encode_leaders(path), "hash bigint, ids binary").dropDuplicates(["hash"]), "chunk-ids")
+    listed = texts.join(F.broadcast(leads) if few else leads, "key").select("text", "no", "hash")
+    encoded = written(mapped(listed, _encode_leaders(path), "hash bigint, ids binary").dropDuplicates(["hash"]), "chunk-ids")
     known = refs.join(encoded, "hash").groupBy("key").agg(F.collect_list(F.struct("no", "hash", "ids")).alias("known"))
-    return base.join(known.hint("merge"), "key", "left").select("doc_id", "text", "known").mapInArrow(_encode(path), "doc_id bigint, ids array<int>, n_tokens int, exact boolean")
+    tokens = mapped(texts.join(known.hint("merge"), "key", "left").select("doc_id", "text", "known"), _encode(path), "doc_id bigint, ids array<int>, n_tokens int, exact boolean")
+    # null texts have one key and would all be one task's
+    return tokens.union(none.select("doc_id", F.lit(None).cast("array<int>"), F.lit(None).cast("int"), F.lit(None).cast("boolean")))
 
 
-def decode_tokens(tokens: DataFrame, path: str | None = None, ids: str = "ids", to: str = "text") -> DataFrame:
+def decode_tokens(tokens: DataFrame, path: str = VOCABULARY, ids: str = "ids", to: str = "text") -> DataFrame:
     """(doc_id, `to`): the text of each row's tokens; null for null tokens, and for those that are no text or not in the vocabulary."""
-    path = path or default_vocabulary()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = vocabulary(path)[1]
@@ -310,4 +315,4 @@ def decode_tokens(tokens: DataFrame, path: str | None = None, ids: str = "ids",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text(x) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", to])
 
-    return tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(ids).alias("__ids")).mapInArrow(kernel, f"doc_id bigint, `{to}` string")
+    return mapped(tokens.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(ids).alias("__ids")), kernel, f"doc_id bigint, `{to}` string")

@@ -7,7 +7,7 @@ their names, never reach them.
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of an Arrow batch, where the session sets none: batches of 10,000 long texts would fill a worker, and the JVM's buffers beside it.
+BATCH_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,20 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
+    """The folder that all executors share, as the session names it; where it names none, a temporary one, but only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "palimpsest-shared")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """`path`, which goes when the driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing that was written."""
+    """`df` as a Parquet table in the shared folder: lineage is cut, and a lost executor costs nothing that was written.  The table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(until_exit(spark, path))
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +64,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut to about `most_bytes` of text, so that a kernel's memory doesn't follow the batch size; single texts are never cut."""
     for batch in batches:
         if not batch.num_rows:
@@ -71,8 +82,28 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
 
-def mapped(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(kernel, schema)
+def _give_back() -> None:
+    """What a kernel has freed goes back to the system: an idle worker keeps its imports only."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # no glibc
+        pass
+
+
+def mapped(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with batches bounded by bytes."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

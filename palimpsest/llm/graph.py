@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 
 
 def _local(batches):
@@ -37,7 +37,7 @@ def _local(batches):
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): every node of the edges (a, b) and the least node of its component.  Nodes are BIGINT; loops and nulls are dropped."""
     plain = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b")
-    star = written(plain.mapInArrow(_local, "a bigint, b bigint").distinct(), "edges")
+    star = written(mapped(plain, _local, "a bigint, b bigint").distinct(), "edges")
     before = None
     for _ in range(most_rounds):
         # large star: greater neighbours point to the least of the neighbourhood

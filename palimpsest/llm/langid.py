@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices
 
 BITS, ORDERS = 15, 3
 SAMPLE, EPOCHS = 400, 3
@@ -80,7 +80,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """ln((1 + N) / (1 + df)) + 1 of each bucket over all texts; the driver gets one number a bucket."""
     texts = docs.select("text").where("text is not null and text <> ''")
-    rows = texts.mapInArrow(_frequencies, "bucket int, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
+    rows = mapped(texts, _frequencies, "bucket int, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).collect()
     n = texts.count()
     df = np.zeros(1 << BITS)
     for r in rows:
@@ -170,4 +170,4 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             rows = [predict(text, model) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["doc_id", "lang", "confidence"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(kernel, "doc_id bigint, lang string, confidence double")
+    return mapped(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), kernel, "doc_id bigint, lang string, confidence double")

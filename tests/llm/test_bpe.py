@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe
 
-PATH = bpe.default_vocabulary()
+PATH = bpe.VOCABULARY
 ENC, BY_ID = bpe.vocabulary(PATH)
 ENCODE, SIZES, _ = bpe._encoder(PATH)
 

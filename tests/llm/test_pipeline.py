@@ -42,7 +42,7 @@ def test_every_stage_against_brute_force(spark, small, tmp_path):
             assert Counter(r.doc_id for r in got) == want and set(want) == {r.doc_id for r in rows}
             assert {r.doc_id: r.text for r in got} == {r.doc_id: r.text for r in rows}
         else:
-            enc = bpe.vocabulary(bpe.default_vocabulary())[0]
+            enc = bpe.vocabulary(bpe.VOCABULARY)[0]
             want = Counter((r.doc_id, tuple(enc.encode_ordinary(r.text))) for r in rows)
             assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want and all(r.exact for r in got)
         docs = out
