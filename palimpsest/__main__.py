@@ -21,7 +21,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--regex")
     p.add_argument("--fuzzy")
     p.add_argument("--type", choices=MEMORY_TYPES)
-    p.add_argument("--form", choices=("json", "dot", "mermaid"), default="json")
+    p.add_argument("--form", choices=("json", "dot", "mermaid", "html"), default="json")
     p.add_argument("--hour", type=int, default=12)
     p.add_argument("--dry-run", action="store_true")
     a = p.parse_args(args)

@@ -78,31 +78,37 @@ def sizes(a: Column) -> tuple[Column, Column]:
 
 
 def _encode(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        n = 1
-        while i + n < len(data) and n < 255 and data[i + n] == data[i]:
-            n += 1
-        if n >= 4 or data[i] == 255:
-            n = n if n >= 4 else 1
-            out += bytes((255, n, data[i]))
-        else:
-            n = 1
-            out.append(data[i])
-        i += n
-    return bytes(out)
+    a = np.frombuffer(data, np.uint8)
+    if not len(a):
+        return b""
+    start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    n = np.diff(np.append(start, len(a)))
+    # a run's pieces of 255 bytes at most
+    pieces = -(-n // 255)
+    value = np.repeat(a[start], pieces)
+    last = np.cumsum(pieces) - 1
+    size = np.full(len(value), 255)
+    size[last] = n - 255 * (pieces - 1)
+    coded, marks = size >= 4, (size < 4) & (value == 255)
+    width = np.where(coded, 3, np.where(marks, 3 * size, size))
+    out = np.repeat(value, width)
+    at = np.cumsum(width) - width
+    out[at[coded]] = 255
+    out[at[coded] + 1] = size[coded]
+    for k in range(3):  # FF 01 FF for each single FF
+        own = at[marks & (size > k)] + 3 * k
+        out[own + 1] = 1
+    return out.tobytes()
 
 
 def _decode(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        if data[i] == 255 and i + 2 < len(data):
-            out += bytes([data[i + 2]]) * data[i + 1]
-            i += 3
-        else:
-            out.append(data[i])
-            i += 1
-    return bytes(out)
+    parts, at = [], 0
+    while True:
+        mark = data.find(b"\xff", at)
+        if mark < 0 or mark + 2 >= len(data):
+            return b"".join([*parts, data[at:]])
+        parts += data[at:mark], data[mark + 2 : mark + 3] * data[mark + 1]
+        at = mark + 3
 
 
 def rle(data: Column) -> Column:

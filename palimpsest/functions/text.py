@@ -30,6 +30,12 @@ def index_terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda t: F.octet_length(t) >= 2)
 
 
+def bloom_words(text: Column) -> Column:
+    """Words for the Bloom filter: parts between white space, trimmed to letters and digits, of two bytes or more, in lower case."""
+    trimmed = F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, TRIM, ""))
+    return F.filter(trimmed, lambda w: F.octet_length(w) >= 2)
+
+
 def embed_tokens(text: Column, stop: bool = True, apostrophe: bool = True) -> Column:
     """Tokens for embeddings: more than two bytes, by default without stop words and with inner apostrophes."""
     t = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{IsAlphabetic}\p{N}']+" if apostrophe else r"[^\p{IsAlphabetic}\p{N}]+")

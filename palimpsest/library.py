@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import classify
-from .operators import embedding, graph, lifecycle, mining, retrieval, sequence, storage
+from .operators import concepts, embedding, graph, ingest, lifecycle, mining, notes, patterns, retrieval, sequence, storage
 from .schema import MEMORY, NOW, new_memories, now
 from .sources import files
 
@@ -58,6 +58,10 @@ class Library:
     def links(self) -> DataFrame:
         return self._read("links", LINKS)
 
+    @property
+    def concepts(self) -> DataFrame:
+        return self._read("concepts", concepts.CONCEPT)
+
     def replace(self, m: DataFrame) -> None:
         self._write("memories", m.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in MEMORY]))
 
@@ -89,7 +93,35 @@ class Library:
         self.replace(storage.delete_prefix(self.memories, prefix))
 
     def link(self, pairs: DataFrame) -> None:
-        self._write("links", storage.upsert(self.links, pairs.select("from_id", "to_id", "relation", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "weight")).alias("weight")), ("from_id", "to_id")))
+        self._write("links", storage.insert_links(self.links, pairs.select("from_id", "to_id", "relation", F.col("weight").cast("double").alias("weight"))))
+
+    def process(self, new: DataFrame, at: str = NOW) -> None:
+        """New memories of (content, ...), with associations to what is like them."""
+        self.replace(ingest.process(self.memories, new, at, dim=self.dim))
+
+    def store_with_importance(self, new: DataFrame, at: str = NOW) -> DataFrame:
+        """The same of (content, tags, valence), with their importance as strength; returns the scores."""
+        score = ingest.importance(self.memories, new)
+        done = score.collect()
+        self.replace(ingest.store_with_importance(self.memories, new, at, dim=self.dim))
+        return self.spark.createDataFrame(done, score.schema)
+
+    def remember(self, new: DataFrame, at: str = NOW, prefix: str = notes.PREFIX) -> None:
+        self.replace(notes.remember(self.memories, new, at, self.dim, prefix))
+
+    def learn(self, trigger: str, action: str, at: str = NOW) -> None:
+        p = patterns.new_patterns(self.spark.createDataFrame([(trigger, action)], "trigger string, action string"))
+        self.replace(patterns.learn(self.memories, p, at))
+
+    def feedback(self, trigger: str, success: bool, at: str = NOW) -> None:
+        self.replace(patterns.feedback(self.memories, self.spark.createDataFrame([(trigger, success)], "trigger string, success boolean"), now(at)))
+
+    def know(self, name: str, description: str, sources: Sequence[str] = (), at: str = NOW) -> None:
+        new = self.spark.createDataFrame([(name, description, list(sources))], "name string, description string, source_memories array<string>")
+        self._write("concepts", concepts.store_knowledge(self.concepts, new, now(at), self.dim))
+
+    def knowledge(self, name: str) -> DataFrame:
+        return concepts.knowledge(self.concepts, name)
 
     # Asking
 
@@ -107,23 +139,30 @@ class Library:
         return retrieval.show(self.memories, self.links, prefix)
 
     def predict(self, hour: int, limit: int = 5) -> DataFrame:
-        return mining.predictions(mining.pool(self.memories), hour, limit)
+        return mining.predictions(self.memories, hour, limit)
 
     def alerts(self, limit: int = 10, at: str = NOW) -> DataFrame:
         return mining.alerts(self.memories, now(at), limit)
 
     def patterns(self) -> DataFrame:
-        return mining.discover(mining.pool(self.memories))
+        return mining.discover(self.memories)
 
     def stats(self) -> DataFrame:
         return mining.store_stats(self.memories)
 
+    def counts(self) -> DataFrame:
+        return mining.totals(self.memories, self.memories.where("memory_type = 'Working'"))
+
+    def rebuild(self, limit: int | None = None) -> DataFrame:
+        return retrieval.rebuild(self.memories, limit)
+
     def timeline(self) -> DataFrame:
         return mining.timeline(self.memories)
 
     def map(self, limit: int = 100, threshold: float = 0.3, query: str | None = None, form: str = "json") -> DataFrame:
         n = graph.nodes(self.memories, limit, query)
-        return {"json": graph.graph_json, "dot": graph.to_dot, "mermaid": graph.to_mermaid}[form](n, graph.edges(n, threshold))
+        e = graph.edges(n, threshold)
+        return graph.to_html(graph.graph_json(n, e)) if form == "html" else {"json": graph.graph_json, "dot": graph.to_dot, "mermaid": graph.to_mermaid}[form](n, e)
 
     def constellation(self, limit: int = 500) -> DataFrame:
         return graph.constellation(self.memories, limit)
@@ -176,5 +215,14 @@ COMMANDS: dict[str, Callable] = {
     "stats": lambda lib, a: lib.stats(),
     "timeline": lambda lib, a: lib.timeline(),
     "chains": lambda lib, a: lib.chains(),
+    "counts": lambda lib, a: lib.counts(),
+    "rebuild": lambda lib, a: lib.rebuild(),
+    "learn": lambda lib, a: lib.learn(a.text[0], a.text[1]),
+    "good": lambda lib, a: lib.feedback(" ".join(a.text), True),
+    "bad": lambda lib, a: lib.feedback(" ".join(a.text), False),
+    "know": lambda lib, a: lib.know(a.text[0], " ".join(a.text[1:])),
+    "ask": lambda lib, a: lib.knowledge(" ".join(a.text)),
+    "note": lambda lib, a: lib.remember(notes.note(lib.spark.createDataFrame([(" ".join(a.text[1:]),)], "content string"), a.text[0])),
+    "notes": lambda lib, a: notes.by_kind(lib.memories, a.text[0]).select("id", "content", "tags"),
     "sql": lambda lib, a: storage.run_sql(lib.memories, " ".join(a.text)),
 }

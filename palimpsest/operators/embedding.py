@@ -66,7 +66,7 @@ def vocabulary(m: DataFrame, dim: int) -> DataFrame:
 
 def add_words(v: DataFrame, words: DataFrame, dim: int) -> DataFrame:
     """The vocabulary with further words at idf 1, as far as it has room."""
-    new = words.select("word").distinct().join(v, "word", "left_anti")
+    new = words.select("word").distinct().join(v, "word", "left_anti").orderBy("word").limit(dim)  # no more can have room
     have = v.agg(F.coalesce(F.max("idx") + 1, F.lit(0)).alias("have"))
     placed = new.crossJoin(F.broadcast(have)).select("word", (F.row_number().over(Window.orderBy("word")) - 1 + F.col("have")).alias("idx"), F.lit(1.0).alias("idf"))
     return v.unionByName(placed.where(F.col("idx") < dim))
@@ -118,6 +118,32 @@ def table_embed(m: DataFrame, v: DataFrame) -> DataFrame:
     return means.select("id", F.when(F.col("n") > 0, normalised(F.col("e"))).otherwise(F.col("e")).alias("embedding"))
 
 
+#: Words of the synthetic table with their strengths, by category.
+CATEGORIES = (
+    {"rust": 0.8, "python": 0.75, "programming": 0.9, "code": 0.7, "language": 0.5},
+    {"memory": 0.85, "safety": 0.8, "ownership": 0.75, "management": 0.6},
+    {"machine": 0.8, "learning": 0.85, "data": 0.7, "science": 0.65, "mlx": 0.9},
+    {"apple": 0.85, "silicon": 0.8, "gpu": 0.75, "hardware": 0.7},
+    {"uses": 0.3, "great": 0.4, "runs": 0.35},
+)
+
+
+def synthetic_table(spark, dim: int = 50) -> DataFrame:
+    """(word, vec): 21 words of five categories, with vectors that are alike within one."""
+    return spark.createDataFrame([(w, category_vector(dim, k, x)) for k, ws in enumerate(CATEGORIES) for w, x in ws.items()], "word string, vec array<double>")
+
+
+def word_vector(v: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, vec) of words in any case; the mean of the table for those that it lacks."""
+    oov = F.array(*map(F.lit, mean_vector(v)))
+    return words.select("word", F.lower("word").alias("__w")).join(v.select(F.col("word").alias("__w"), "vec"), "__w", "left").select("word", F.coalesce("vec", oov).alias("vec"))
+
+
+def known_words(v: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, known)."""
+    return words.select("word", F.lower("word").alias("__w")).join(v.select(F.col("word").alias("__w"), F.lit(True).alias("known")), "__w", "left").select("word", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def mock_embed(text: Column, dim: int = 512) -> Column:
     """A pseudo-random unit vector that depends on the text alone, by a 64-bit linear congruential generator."""
     @F.pandas_udf("array<double>")
@@ -156,3 +182,37 @@ def cache_stats(m: DataFrame, cache: DataFrame) -> DataFrame:
     hit = m.select("content").join(cache.select("content", F.lit(1).alias("hit")), "content", "left")
     row = hit.agg(F.count("hit").alias("hits"), (F.count("*") - F.count("hit")).alias("misses"))
     return row.crossJoin(cache.agg(F.count("*").alias("size"))).withColumn("hit_rate", F.coalesce(F.try_divide("hits", F.col("hits") + F.col("misses")), F.lit(0.0)))
+
+
+def preload(cache: DataFrame, texts: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The cache with the vectors of texts (content) that it lacks."""
+    return cached_embed(texts.select("content"), cache, embed)[1]
+
+
+def save_cache(cache: DataFrame, path: str) -> None:
+    cache.select("content", F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(path)
+
+
+def load_cache(spark, path: str) -> DataFrame:
+    return spark.read.schema("content string, embedding array<float>").parquet(path)
+
+
+def fitted_capacity(capacity: Column, hits: Column, misses: Column) -> Column:
+    """What a cache of bounded size should hold: half as much again if more than 0.8 of 100 lookups or more hit, a quarter less if fewer than 0.2 do, between 1,000 and 100,000 as the limits where it grows and shrinks no further."""
+    n = hits + misses
+    rate = F.coalesce(F.try_divide(hits, n), F.lit(0.0))
+    return F.when(n < 100, capacity).when((rate > 0.8) & (capacity < 100_000), F.floor(capacity * 1.5)).when((rate < 0.2) & (capacity > 1000), F.floor(capacity * 0.75)).otherwise(capacity).cast("bigint")
+
+
+def process_batches(m: DataFrame, embed: Callable[[DataFrame], DataFrame], f: Callable[[list[str], np.ndarray], list], schema: str, rows: int = 32) -> DataFrame:
+    """(id, value of `schema`): a function of texts and their vectors, called for so many rows at once."""
+    kind = dict(m.dtypes)["id"]
+    x = m.select("id", "content").join(embed(m), "id").select("id", "content", F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f(b.column(1).to_pylist(), np.array(b.column(2).to_pylist(), float)))], names=["id", "value"])
+
+    return x.mapInArrow(kernel, f"id {kind}, value {schema}")

@@ -9,14 +9,27 @@ from ..functions import scoring
 from ..functions.text import PATTERN_STOP, TRIM, truncate, words
 
 
-def pool(m: DataFrame, n: int = 1000) -> DataFrame:
-    """The strongest memories, over which patterns are mined."""
-    return m.orderBy(F.desc("strength"), "id").limit(n)
+def pool(m: DataFrame, n: int | None = None) -> DataFrame:
+    """The n strongest memories, over which patterns are mined; all, without a number."""
+    return m if n is None else m.orderBy(F.desc("strength"), "id").limit(n)
 
 
-def store_stats(m: DataFrame) -> DataFrame:
-    """Counts for each type, and the mean strength."""
-    return m.groupBy("memory_type").agg(F.count("*").alias("n"), F.avg("strength").alias("avg_strength"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+def store_stats(m: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """Counts for each type, and the mean strength; with links, how many begin at its memories."""
+    n = m.groupBy("memory_type").agg(F.count("*").alias("n"), F.avg("strength").alias("avg_strength"), F.min("created_at").alias("first"), F.max("created_at").alias("last"))
+    if links is None:
+        return n
+    out = links.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("__n"))
+    linked = m.select("id", "memory_type").join(out, "id").groupBy("memory_type").agg(F.sum("__n").alias("links"))
+    return n.join(linked, "memory_type", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+
+
+def totals(m: DataFrame, working: DataFrame | None = None) -> DataFrame:
+    """One row: memories of each store, those with a vector, and its size."""
+    c = F.col("memory_type")
+    v = F.col("embedding") if "embedding" in m.columns else F.lit(None).cast("array<float>")
+    row = m.agg(*[F.count_if(c == t).alias(k) for k, t in (("semantic", "Semantic"), ("episodic", "Episodic"), ("procedural", "Procedural"))], F.count(v).alias("indexed"), F.coalesce(F.max(F.size(v)), F.lit(0)).alias("dim"))
+    return row.crossJoin(working.agg(F.count("*").alias("working"))) if working is not None else row.withColumn("working", F.lit(0).cast("bigint"))
 
 
 def _mode(m: DataFrame, value: Column, least: int) -> DataFrame:
@@ -65,8 +78,9 @@ def tag_at_hour(m: DataFrame, hour: int) -> DataFrame:
 
 def transitions(m: DataFrame, by: str | None = None) -> DataFrame:
     """(tag, next_tag, n) of neighbours in time; with `by`, of each of its sequences."""
-    w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("created_at", "id")
-    p = m.withColumn("following", F.lead("tags").over(w)).where("following is not null")
+    from .sequence import neighbour
+
+    p = neighbour(m.select(*([by] if by else []), "id", "created_at", "tags"), F.col("tags"), "following", [by] if by else [], back=False).where("following is not null")
     return p.select(F.explode("tags").alias("tag"), "following").select("tag", F.explode("following").alias("next_tag")).where("tag <> next_tag").groupBy("tag", "next_tag").agg(F.count("*").alias("n"))
 
 
@@ -149,10 +163,18 @@ def bisociations(pairs: DataFrame, low: float = 0.3, high: float = 0.7) -> DataF
     return pairs.where((F.col("similarity") > low) & (F.col("similarity") < high)).agg(F.count("*").alias("n"))
 
 
-def timeline(m: DataFrame, width: int = 120) -> DataFrame:
-    """By day: the number of memories and the beginnings of their contents."""
-    items = F.transform(F.sort_array(F.collect_list(F.struct("created_at", "id", F.substring("content", 1, width).alias("p")))), lambda x: x["p"])
-    return m.groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("n"), items.alias("previews")).orderBy(F.desc("day"))
+def timeline_rows(m: DataFrame, width: int = 120) -> DataFrame:
+    """(day, created_at, id, preview) with the beginning of each content; sorting it is left to the reader, who takes some days."""
+    return m.select(F.to_date("created_at").alias("day"), "created_at", "id", F.substring("content", 1, width).alias("preview"))
+
+
+def timeline(m: DataFrame, width: int = 120, most: int = 1000) -> DataFrame:
+    """By day: the number of memories and the beginnings of their contents, the first `most` of a day; `timeline_rows` has all as rows."""
+    rows = timeline_rows(m, width)
+    n = rows.groupBy("day").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("day").orderBy("created_at", "id"))
+    first = rows.withColumn("r", rank).where(F.col("r") <= most).groupBy("day").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "preview"))), lambda x: x["preview"]).alias("previews"))
+    return n.join(first, "day").orderBy(F.desc("day"))
 
 
 # Audit

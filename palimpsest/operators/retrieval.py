@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.text import fuzzy, index_terms, query_keywords
+from ..functions.text import bloom_words, fuzzy, index_terms, query_keywords
 from ..functions.vectors import cosine, with_cosine
 from .storage import contains_text, has_tag, search
 
@@ -18,29 +21,32 @@ def postings(m: DataFrame, content: str = "content") -> DataFrame:
     return m.select("id", F.explode(F.array_distinct(index_terms(F.col(content)))).alias("term"))
 
 
-def query_terms(spark: SparkSession, query: str) -> DataFrame:
-    """(term, times) of a query; how often it names a term counts."""
-    return spark.createDataFrame([(query,)], "q string").select(F.explode(index_terms(F.col("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
+def query_terms(spark: SparkSession, query: str) -> dict[str, int]:
+    """The terms of a query, and how often it names each; made of a constant, so that no job runs."""
+    return dict(Counter(spark.sql("VALUES (1)").select(index_terms(F.lit(query)).alias("t")).first()["t"]))
 
 
-def index_hits(m: DataFrame, query: str) -> DataFrame:
-    """(id, terms, score): distinct terms of the query that a memory holds, and their times in the query.
+def has_term(low: Column, term: str) -> Column:
+    """Whether a lower-case text holds a term between its breaks; most texts without it are told by a plain search."""
+    inside = r"[\p{IsAlphabetic}\p{N}_]"
+    return low.contains(term) & low.rlike(f"(?<!{inside}){re.escape(term)}(?!{inside})")
+
+
+def index_hits(m: DataFrame, query: str, *columns: str) -> DataFrame:
+    """(id, *columns, terms, score): distinct terms of the query that a memory holds, and their times in the query.
 
     Terms are tested per row, so nothing but the hits leaves the scan.
     """
-    spark = m.sparkSession
-    q = [(r["term"], r["times"]) for r in query_terms(spark, query).collect()]
+    q = query_terms(m.sparkSession, query)
     if not q:
-        return m.select("id", F.lit(0).alias("terms"), F.lit(0).cast("bigint").alias("score")).where("false")
-    own = F.array_distinct(index_terms(F.col("content")))
-    hits = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(n).alias("n")) for t, n in q]), lambda x: F.array_contains("own", x["t"]))
-    found = m.select("id", F.explode(F.array(own)).alias("own")).select("id", F.explode(F.array(hits)).alias("h")).where("size(h) > 0")
-    return found.select("id", F.size("h").alias("terms"), F.aggregate("h", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("score"))
+        return m.select("id", *columns, F.lit(0).alias("terms"), F.lit(0).cast("bigint").alias("score")).where("false")
+    low = F.lower(F.coalesce("content", F.lit("")))
+    found = m.select("id", *columns, F.array(*[F.when(has_term(low, t), F.lit(n)) for t, n in q.items()]).alias("h")).select("id", *columns, F.filter("h", lambda n: n.isNotNull()).alias("h"))
+    return found.where("size(h) > 0").select("id", *columns, F.size("h").alias("terms"), F.aggregate("h", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("score"))
 
 
 def search_and(m: DataFrame, query: str) -> DataFrame:
-    hits = index_hits(m, query)
-    return hits.where(F.col("terms") == query_terms(m.sparkSession, query).count()).select("id")
+    return index_hits(m, query).where(F.col("terms") == len(query_terms(m.sparkSession, query))).select("id")
 
 
 def search_or(m: DataFrame, query: str) -> DataFrame:
@@ -51,6 +57,29 @@ def search_ranked(m: DataFrame, query: str, limit: int) -> DataFrame:
     return index_hits(m, query).select("id", "score").orderBy(F.desc("score"), "id").limit(limit)
 
 
+def remove_postings(p: DataFrame, ids: DataFrame) -> DataFrame:
+    """A stored index without the postings of some memories."""
+    return p.join(ids.select(F.col(ids.columns[0]).alias("id")), "id", "left_anti")
+
+
+def update_postings(p: DataFrame, changed: DataFrame) -> DataFrame:
+    """A stored index with the postings of changed memories in place of their old ones."""
+    return remove_postings(p, changed.select("id")).unionByName(postings(changed).select(*p.columns))
+
+
+def rebuild(m: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row of what a rebuilt index holds: memories of each store (the strongest `limit` of each, if given), terms, postings, and words for the Bloom filter."""
+    stores = {"episodic": "Episodic", "semantic": "Semantic", "procedural": "Procedural"}
+    parts = [m.where(F.col("memory_type") == t) for t in stores.values()]
+    if limit is not None:
+        parts = [p.orderBy(F.desc("strength"), "id").limit(limit) for p in parts]
+    own = reduce(DataFrame.unionByName, [p.select("id", "content", "memory_type") for p in parts])
+    n = own.agg(*[F.count_if(F.col("memory_type") == t).alias(k) for k, t in stores.items()])
+    i = postings(own).agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"))
+    w = own.select(F.explode(bloom_words(F.col("content"))).alias("w")).agg(F.count_distinct("w").alias("bloom_words"))
+    return n.crossJoin(i).crossJoin(w)
+
+
 def index_stats(m: DataFrame) -> DataFrame:
     p = postings(m)
     terms = p.agg(F.count_distinct("term").alias("terms"), F.count("*").alias("n"))
@@ -76,12 +105,17 @@ def top_similar(m: DataFrame, query: Sequence[float], k: int, threshold: float |
     return hit.orderBy(F.desc("similarity"), "id").limit(k)
 
 
-def semantic_search(m: DataFrame, query: Sequence[float], limit: int = 10, threshold: float = 0.05, among: int | None = 1000) -> DataFrame:
-    """Among the strongest memories (all, if None), those most like the query above the threshold."""
+def semantic_search(m: DataFrame, query: Sequence[float], limit: int = 10, threshold: float = 0.05, among: int | None = None) -> DataFrame:
+    """The memories most like the query above the threshold; with `among`, only the so many strongest are looked at."""
     pool = m if among is None else m.orderBy(F.desc("strength"), "id").limit(among)
     return top_similar(pool, query, limit, threshold)
 
 
+def search_from(v: DataFrame, query: Sequence[float], k: int, source: str | None = None) -> DataFrame:
+    """The k vectors most like the query, with a source only those whose metadata name exactly it; the filter comes before the limit."""
+    return top_similar(v if source is None else v.where(F.try_element_at("metadata", F.lit("source")) == source), query, k)
+
+
 def related(stores: Sequence[tuple[DataFrame, int]], query: Sequence[float], threshold: float = 0.4, limit: int = 5) -> DataFrame:
     """Over the strongest of each store, the memories most like the vector, once each."""
     pool = None
@@ -93,21 +127,42 @@ def related(stores: Sequence[tuple[DataFrame, int]], query: Sequence[float], thr
 
 
 def recall(m: DataFrame, query: str, now: Column, limit: int = 10, vector: Sequence[float] | None = None, working: DataFrame | None = None, among: int = 1000) -> DataFrame:
-    """Hybrid recall: working memory, inverted index, keywords and the whole query as text; scored by strength, similarity, decay and relevance; once for each content."""
+    """Hybrid recall: working memory, inverted index, keywords and the whole query as text; scored by strength, similarity, decay and relevance; once for each content.
+
+    One scan marks each memory with the searches that it answers and ranks it in
+    each; tasks send no more than the best of a search.  The ids that come through
+    are few, and a second scan reads their rows.  `among` is the number of strongest
+    semantic memories that the inverted index counts for.
+    """
     cols = ["id", "content", "context", "memory_type", "strength", "access_count", "created_at", "last_accessed", "tags", *(["embedding"] if "embedding" in m.columns else [])]
     m = m.select(*cols)
-    semantic, episodic = m.where("memory_type = 'Semantic'"), m.where("memory_type = 'Episodic'")
-    strongest = semantic.orderBy(F.desc("strength"), "id").limit(among)
-    parts = [strongest.join(search_ranked(semantic, query, limit * 2).select("id"), "id", "left_semi"), search(semantic, query, limit)]
+    words = query_keywords(query)
+    q = query_terms(m.sparkSession, query)
+    semantic, episodic = F.col("memory_type") == "Semantic", F.col("memory_type") == "Episodic"
+    low, about = F.lower(F.coalesce("content", F.lit(""))), F.lower(F.coalesce("context", F.lit("")))
+    holds = lambda t: low.contains(t.lower()) | about.contains(t.lower())
+    score = reduce(lambda a, b: a + b, [F.when(has_term(low, t), F.lit(n)).otherwise(F.lit(0)) for t, n in q.items()], F.lit(0))
+    # (search, by what it ranks); None where a memory doesn't answer it
+    marks = [F.when(semantic, F.struct(F.lit(0).alias("s"), F.col("strength").alias("by"))), F.when(semantic & (score > 0), F.struct(F.lit(1).alias("s"), score.cast("double").alias("by"))), F.when(semantic & holds(query), F.struct(F.lit(2).alias("s"), F.col("strength").alias("by")))]
+    for k, word in enumerate(words):
+        marks += [F.when(kind & holds(word), F.struct(F.lit(3 + 2 * k + j).alias("s"), F.col("strength").alias("by"))) for j, kind in enumerate((episodic, semantic))]
+    marked = m.where(semantic | episodic).select("id", F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())).alias("x")).select("id", "x.s", "x.by")
+    most = max(among, 2 * limit)
+    rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("by"), "id"))
+    ranked = marked.withColumn("r", rank).where(F.col("r") <= most)
+    ranked = ranked.where(F.col("r") <= F.when(F.col("s") == 0, among).when(F.col("s") == 1, 2 * limit).otherwise(limit))
+    found = ranked.groupBy("id").agg(F.collect_set("s").alias("s"))
+    indexed = F.array_contains("s", 0) & F.array_contains("s", 1)
+    found = found.select("id", indexed.alias("indexed"), F.array_contains("s", 2).alias("whole"), F.exists("s", lambda x: x > 2).alias("word"))
+    have = found.agg(F.count_if("indexed").alias("n"))
+    if working is not None:
+        own = working.select(*cols).where(contains_text(query))
+        have = have.crossJoin(own.agg(F.count("*").alias("w"))).select((F.col("n") + F.col("w")).alias("n"))
+    # keywords count only where the index and working memory found too little
+    ids = found.crossJoin(F.broadcast(have)).where(F.col("indexed") | F.col("whole") | (F.col("word") & (F.col("n") < limit))).select("id")
+    pool = m.join(F.broadcast(ids), "id", "left_semi")  # a few ids for each search
     if working is not None:
-        parts.append(working.select(*cols).where(contains_text(query)))
-    if sum(p.count() for p in (parts[0], *parts[2:])) < limit:
-        for word in query_keywords(query):
-            parts += [search(episodic, word, limit), search(semantic, word, limit)]
-    pool = parts[0]
-    for p in parts[1:]:
-        pool = pool.unionByName(p)
-    pool = pool.dropDuplicates(["id"])
+        pool = pool.unionByName(own).dropDuplicates(["id"])
     if vector is not None and "embedding" in pool.columns:
         sim = cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in vector]))
         pool = pool.withColumn("strength", F.when(F.col("embedding").isNotNull(), F.col("strength") * 0.5 + sim * 0.5).otherwise(F.col("strength")))

@@ -4,18 +4,82 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """`old` with the rows of `new` in place of those of equal keys; of equal keys in `new`, one row stays.
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("id",), order: Sequence[str | Column] = ()) -> DataFrame:
+    """`old` with the rows of `new` in place of those of equal keys; of equal keys, the last row of `new` stays.
 
-    Both sides go through one shuffle on the keys and no other.
+    The last is the greatest by `order`; without one it is the row that stands last
+    in `new`, which says something only where `new` has an order of its own (rows of
+    a list or a file, not of a shuffle).  Both sides go through one shuffle on the
+    keys, after each task has left out what it can.
     """
-    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(F.desc("__new"))
-    return both.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank", "__new")
+    last = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order]) if order else F.monotonically_increasing_id()
+    both = old.withColumn("__last", F.lit(None).cast(new.select(last.alias("x")).schema["x"].dataType)).withColumn("__new", F.lit(0)).unionByName(new.withColumn("__last", last).withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(F.desc("__new"), F.desc("__last"))
+    return both.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank", "__new", "__last")
+
+
+def insert_links(links: DataFrame, new: DataFrame, order: Sequence[str | Column] = ()) -> DataFrame:
+    """Links with new ones, one for each pair of ends, the last; weights are brought to 0 to 1, relations to their normal form."""
+    from ..functions.scoring import clamp
+    from ..functions.text import relation
+
+    x = new.withColumn("weight", clamp(F.coalesce("weight", F.lit(1.0)), 0.0, 1.0)) if "weight" in new.columns else new.withColumn("weight", F.lit(1.0))
+    return upsert(links, x.withColumn("relation", relation(F.col("relation"))) if "relation" in x.columns else x, ("from_id", "to_id"), order)
+
+
+def delete_links(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links without those that begin at one of the ids."""
+    return delete(links, ids, "from_id")
+
+
+def associate(m: DataFrame, pairs: DataFrame, column: str = "associations", both: bool = False) -> DataFrame:
+    """Memories whose `column` holds the ids that pairs (from_id, to_id) give them besides, once each and after those that are there; with `both`, also the other way."""
+    p = pairs.select(F.col("from_id").alias("id"), F.col("to_id").alias("__to"))
+    if both:
+        p = p.unionByName(pairs.select(F.col("to_id").alias("id"), F.col("from_id").alias("__to")))
+    more = p.groupBy("id").agg(F.sort_array(F.collect_set("__to")).alias("__to"))
+    have = F.coalesce(F.col(column), F.array().cast("array<string>"))
+    return m.join(more, "id", "left").withColumn(column, F.when(F.col("__to").isNull(), have).otherwise(F.array_union(have, "__to"))).drop("__to")
+
+
+def count(m: DataFrame) -> DataFrame:
+    return m.agg(F.count("*").alias("n"))
+
+
+def ensure(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The table at a path; made, with no rows, if it isn't there.  A table of another schema is an error."""
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        spark.createDataFrame([], kind).write.parquet(path)
+    have = dict(spark.read.parquet(path).dtypes)
+    wrong = [f.name for f in kind if have.get(f.name) != f.dataType.simpleString()]
+    if wrong:
+        raise ValueError(f"the table at {path} has other columns: {', '.join(wrong)}")
+    return spark.read.schema(kind).parquet(path)
+
+
+def store_vectors(v: DataFrame, new: DataFrame, dim: int | None = None) -> DataFrame:
+    """Appends (embedding, metadata) under new numbers; equal rows are stored again.  Vectors of another size than `dim` are left out."""
+    fit = new if dim is None else new.where(F.size("embedding") == dim)
+    first = v.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0)).alias("__first"))
+    # numbers leave gaps between tasks, as no order is asked for
+    numbered = fit.select((F.monotonically_increasing_id()).alias("__n"), "embedding", "metadata").crossJoin(F.broadcast(first))
+    return v.select("vec_id", "embedding", "metadata").unionByName(numbered.select((F.col("__n") + F.col("__first")).alias("vec_id"), "embedding", "metadata"))
+
+
+def healthy(spark: SparkSession, path: str) -> bool:
+    """Whether the table at a path can be read."""
+    try:
+        spark.read.parquet(path).limit(1).collect()
+        return True
+    except Exception:  # whatever keeps it from being read
+        return False
 
 
 def delete(m: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -120,8 +184,8 @@ def set_strength(m: DataFrame, prefix: str, strength: float) -> DataFrame:
     return m.join(F.broadcast(first), "id", "left").withColumn("strength", F.coalesce("__s", "strength")).drop("__s")
 
 
-def run_sql(m: DataFrame, sql: str, view: str = "memories", width: int = 100) -> DataFrame:
-    """A query over the memories; text values are cut to `width` characters."""
+def run_sql(m: DataFrame, sql: str, view: str = "memories", width: int | None = None) -> DataFrame:
+    """A query over the memories; with `width`, text values are cut to so many characters, as a page of results shows them."""
     m.createOrReplaceTempView(view)
     out = m.sparkSession.sql(sql)
-    return out.select(*[F.substring(F.col(f"`{c}`"), 1, width).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in out.dtypes])
+    return out if width is None else out.select(*[F.substring(F.col(f"`{c}`"), 1, width).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in out.dtypes])

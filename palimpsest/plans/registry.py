@@ -284,7 +284,7 @@ WITH_Q = "q AS (SELECT embedding AS x FROM v WHERE id = '0'), c AS (SELECT v.*,
 
 @query("r03_semantic_search", f"{WITH_Q}, t AS (SELECT * FROM c ORDER BY strength DESC, id LIMIT 1000) SELECT id, round(sim, 6) AS similarity FROM t WHERE sim > 0.05 ORDER BY sim DESC, id LIMIT 10")
 def semantic_search(s, d):
-    return retrieval.semantic_search(V(s, d), _vector(s, d)).select("id", r6("similarity").alias("similarity"))
+    return retrieval.semantic_search(V(s, d), _vector(s, d), among=1000).select("id", r6("similarity").alias("similarity"))
 
 
 @query("r04_related", f"{WITH_Q}, t AS (SELECT * FROM (SELECT * FROM c WHERE CAST(id AS INT) % 2 = 0 ORDER BY strength DESC, id LIMIT 100) UNION ALL SELECT * FROM (SELECT * FROM c WHERE CAST(id AS INT) % 2 = 1 ORDER BY strength DESC, id LIMIT 50)) SELECT id, round(sim, 6) AS similarity FROM t WHERE sim > 0.1 ORDER BY sim DESC, id LIMIT 5")
@@ -382,12 +382,12 @@ TOP = "t AS (SELECT * FROM m ORDER BY strength DESC, id LIMIT 1000)"
 
 @query("a03_hour_pattern", f"{TOP} SELECT CAST(hour(created_at) AS INT) AS value, count(*) AS n FROM t GROUP BY 1 HAVING n >= 5 ORDER BY n DESC, value LIMIT 1")
 def _(s, d):
-    return mining.hour_pattern(mining.pool(M(s, d)))
+    return mining.hour_pattern(mining.pool(M(s, d), 1000))
 
 
 @query("a04_weekday_pattern", f"{TOP} SELECT CAST((dayofweek(created_at) + 6) % 7 AS INT) AS value, count(*) AS n FROM t GROUP BY 1 HAVING n >= 5 ORDER BY n DESC, value LIMIT 1")
 def _(s, d):
-    return mining.weekday_pattern(mining.pool(M(s, d)))
+    return mining.weekday_pattern(mining.pool(M(s, d), 1000))
 
 
 @query(
@@ -397,7 +397,7 @@ def _(s, d):
     SELECT tag, n, (SELECT list(c ORDER BY r) FROM f WHERE f.tag = b.tag) AS examples FROM b""",
 )
 def _(s, d):
-    return mining.tag_patterns(mining.pool(M(s, d)))
+    return mining.tag_patterns(mining.pool(M(s, d), 1000))
 
 
 PSTOP = ", ".join(f"'{w}'" for w in text.PATTERN_STOP)
@@ -405,7 +405,7 @@ PSTOP = ", ".join(f"'{w}'" for w in text.PATTERN_STOP)
 
 @query("a06_word_pattern", f"{TOP}, w AS (SELECT unnest(list_transform({WORDS.format('lower(content)')}, lambda x: {TRIM})) AS value FROM t) SELECT value, count(*) AS n FROM w WHERE strlen(value) > 2 AND value NOT IN ({PSTOP}) GROUP BY value HAVING n >= 5 ORDER BY n DESC, value LIMIT 1")
 def _(s, d):
-    return mining.word_pattern(mining.pool(M(s, d)))
+    return mining.word_pattern(mining.pool(M(s, d), 1000))
 
 
 TOPIC = f"w AS (SELECT unnest({WORDS.format('lower(content)')}) AS value FROM t), c AS (SELECT value, count(*) AS n FROM w WHERE strlen(value) > 3 GROUP BY value HAVING n >= 5 ORDER BY n DESC, value LIMIT 1)"
@@ -413,22 +413,12 @@ TOPIC = f"w AS (SELECT unnest({WORDS.format('lower(content)')}) AS value FROM t)
 
 @query("a07_topic", f"{TOP}, {TOPIC} SELECT value, n, round(least(0.7, n / (SELECT count(*) FROM t)), 6) AS confidence FROM c")
 def _(s, d):
-    return mining.topic(mining.pool(M(s, d))).withColumn("confidence", r6("confidence"))
+    return mining.topic(mining.pool(M(s, d), 1000)).withColumn("confidence", r6("confidence"))
 
 
 @query("a08_tag_at_hour", f"{TOP}, h AS (SELECT * FROM t WHERE hour(created_at) = 14), g AS (SELECT unnest(tags) AS value FROM h) SELECT value, count(*) AS n, round(least(0.9, count(*) / (SELECT count(*) FROM h)), 6) AS confidence FROM g GROUP BY value HAVING count(*) >= 2 ORDER BY n DESC, value LIMIT 1")
 def _(s, d):
-    return mining.tag_at_hour(mining.pool(M(s, d)), 14).withColumn("confidence", r6("confidence"))
-
-
-@query("a09_discover", None)
-def _(s, d):
-    return mining.discover(mining.pool(M(s, d)))
-
-
-@query("a10_predictions", None)
-def _(s, d):
-    return mining.predictions(mining.pool(M(s, d)), 14).withColumn("confidence", r6("confidence"))
+    return mining.tag_at_hour(mining.pool(M(s, d), 1000), 14).withColumn("confidence", r6("confidence"))
 
 
 RISK = f"least(1.0, {DAYS('last_accessed')} / 30.0 * 0.4 + (1 - strength) * 0.4 + 1 / (access_count + 1.0) * 0.2)"
@@ -442,11 +432,6 @@ def _(s, d):
     return mining.alerts(M(s, d), now(), 40).select("id", r6("strength").alias("strength"), "days", r6("risk").alias("risk"), "urgency")
 
 
-@query("a13_frequent_words", f"w AS (SELECT unnest(list_distinct(list_filter({WORDS.format('lower(content)')}, lambda x: strlen(x) > 3))) AS word FROM m), c AS (SELECT word, count(*) AS df FROM w GROUP BY word) SELECT word, df FROM c WHERE df >= greatest((SELECT count(*) // 2 FROM m), 2) ORDER BY df DESC, word LIMIT 10")
-def _(s, d):
-    return mining.frequent_words(M(s, d))
-
-
 @query("a14_concept", f"e2 AS (SELECT * FROM m WHERE tags[1] = 'en'), w AS (SELECT unnest(list_distinct(list_filter({WORDS.format('lower(content)')}, lambda x: strlen(x) > 3))) AS word FROM e2), c AS (SELECT word, count(*) AS df FROM w GROUP BY word HAVING df >= greatest((SELECT count(*) // 2 FROM e2), 2) ORDER BY df DESC, word LIMIT 3) SELECT string_agg(word, '_' ORDER BY df DESC, word) AS name FROM c")
 def _(s, d):
     return mining.concept(M(s, d).where("tags[0] = 'en'"))
@@ -475,18 +460,6 @@ def _(s, d):
     return mining.insights(M(s, d), now())
 
 
-@query("a23_dream_pool", f"t AS (SELECT * FROM m WHERE memory_type = 'Semantic' ORDER BY strength DESC, id LIMIT 100) SELECT id FROM t WHERE created_at > {T} - INTERVAL 24 HOUR")
-def _(s, d):
-    return mining.dream_pool(M(s, d), now()).select("id")
-
-
-def _log(s: SparkSession, d: str) -> DataFrame:
-    """Events as an audit log: written as lines, and read again."""
-    op = F.expr("case event_type when 'view' then 'RECALL' when 'signup' then 'STORE' when 'purchase' then 'SEARCH' else 'SLEEP' end")
-    lines = read(s, d, "events").select(mining.audit_line(F.col("ts").cast("timestamp"), op, F.col("props"), F.array("event_type"), F.lit("ok")).alias("value"))
-    return mining.parse_audit(lines)
-
-
 OPS = "o AS (SELECT date_trunc('second', CAST(ts AS TIMESTAMP)) AS t_at, CASE event_type WHEN 'view' THEN 'RECALL' WHEN 'signup' THEN 'STORE' WHEN 'purchase' THEN 'SEARCH' ELSE 'SLEEP' END AS op FROM events)"
 COUNTS = ", ".join(f"count(*) FILTER (op = '{x}') AS {x.lower()}" for x in ("STORE", "RECALL", "SEARCH"))
 
@@ -592,37 +565,12 @@ def _(s, d):
     return graph.edges(graph.nodes(V(s, d), 100), 0.25).withColumn("weight", r6("weight"))
 
 
-def _graph(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    n = graph.nodes(V(s, d), 40)
-    return n, graph.edges(n, 0.25)
-
-
-@query("g04_dot", None)
-def _(s, d):
-    return graph.to_dot(*_graph(s, d))
-
-
-@query("g05_mermaid", None)
-def _(s, d):
-    return graph.to_mermaid(*_graph(s, d))
-
-
-@query("g06_graph_json", None)
-def _(s, d):
-    return graph.graph_json(*_graph(s, d))
-
-
 @query("g07_constellation", None)
 def _(s, d):
     c = graph.constellation(V(s, d), 500)
     return c.select("id", r6("x").alias("x"), r6("y").alias("y"), "cluster")
 
 
-@query("g10_clusters", None)
-def _(s, d):
-    return graph.clusters(V(s, d), 0.4).withColumn("similarity", r6("similarity")).withColumn("avg_similarity", r6("avg_similarity"))
-
-
 @query("g12_relations", "r AS (SELECT CAST(l_suppkey AS VARCHAR) AS source, CAST(l_partkey % 50 AS VARCHAR) AS target, l_discount AS strength FROM lineitem) SELECT source, target, round(least(1.0, sum(strength)), 6) AS strength FROM r GROUP BY source, target")
 def _(s, d):
     r = read(s, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("source"), (F.col("l_partkey") % 50).cast("string").alias("target"), F.col("l_discount").alias("strength"))
@@ -664,18 +612,6 @@ def _(s, d):
     return embedding.tfidf_embed(m, embedding.vocabulary(m, 100), 100).select("id", F.posexplode("embedding").alias("idx", "x")).where("x <> 0").withColumn("x", r6("x"))
 
 
-@query("f14_table_embed", None)
-def _(s, d):
-    words = [("the", 0), ("of", 1), ("and", 2), ("der", 3), ("les", 4), ("los", 5)]
-    v = s.createDataFrame([(w, embedding.category_vector(50, c, 1.0)) for w, c in words], "word string, vec array<double>")
-    return embedding.table_embed(M(s, d), v).select("id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
-
-
-@query("f19_mock_embed", None)
-def _(s, d):
-    return V(s, d).select("id", F.transform(embedding.mock_embed(F.col("content"), 16), lambda x: F.round(x, 6)).alias("embedding"))
-
-
 @query(
     "f25_quantise",
     "b AS (SELECT id, embedding AS x, list_min(embedding) AS lo, list_max(embedding) - list_min(embedding) AS span FROM v), q AS (SELECT id, lo, CASE WHEN span = 0 THEN 1.0 ELSE span / 255.0 END AS scale, x FROM b) SELECT id, list_transform(x, lambda y: CAST(least(127.0, greatest(-128.0, round((y - lo) / scale) - 128)) AS TINYINT)) AS data, round(scale, 9) AS scale, round(lo, 6) AS zero_point FROM q",
@@ -684,47 +620,9 @@ def _(s, d):
     return V(s, d).select("id", codec.quantise(F.col("embedding")).alias("q")).select("id", "q.data", F.round("q.scale", 9).alias("scale"), r6("q.zero_point").alias("zero_point"))
 
 
-@query("f31_round_trip", "SELECT id, true AS near FROM v")
-def _(s, d):
-    def far(v: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([float(np.abs(np.asarray(a) - np.asarray(b, float)).max()) for a, b in zip(v, w)])
-
-    packed = V(s, d).select("id", "embedding", codec.compress(F.col("embedding")).alias("c"))
-    error = F.pandas_udf(far, "double")(codec.decompress(F.col("c")), F.col("embedding"))
-    return packed.select("id", (error <= F.col("c.scale")).alias("near"))
-
-
-@query("f27_rle", "SELECT id, true AS same FROM m")
-def _(s, d):
-    raw = F.concat(F.encode(F.col("content"), "UTF-8"), F.unhex(F.lit("FF00000000000041FFFFFFFFFF")))
-    return M(s, d).select("id", (codec.unrle(codec.rle(raw)) == raw).alias("same"))
-
-
 # Sketches
 
 
-@query("k01_bloom", f"{POSTINGS} SELECT DISTINCT term AS word, true AS maybe FROM p WHERE CAST(id AS INT) % 3 = 0")
-def _(s, d):
-    m, k = sketch.sizing(10_000, 0.01)
-    words = retrieval.postings(M(s, d).where("cast(id as int) % 3 = 0")).select(F.col("term").alias("word"))
-    return sketch.contains(sketch.build(words, m, k), words, m, k)
-
-
-@query("k06_bloom_stats", None)
-def _(s, d):
-    m, k = sketch.sizing(10_000, 0.01)
-    words = retrieval.postings(M(s, d)).select(F.col("term").alias("word")).distinct()
-    return sketch.stats(sketch.build(words, m, k), m, k, words.count())
-
-
-@query("k08_counting", None)
-def _(s, d):
-    m, k = sketch.sizing(100_000, 0.01)
-    words = retrieval.postings(M(s, d)).select(F.col("term").alias("word")).distinct()
-    gone = words.where("word like 'e%'")
-    return sketch.counting_contains(sketch.counting_remove(sketch.counting(words, m, k), gone, m, k), words, m, k)
-
-
 # Lifecycle
 
 SOFT = f"strength * ({DECAY} * 0.5 + 0.5)"
@@ -758,13 +656,6 @@ def _(s, d):
     return lifecycle.fade(M(s, d), now(), 0.02).select("id", r6("strength").alias("strength"))
 
 
-@query("t11_consolidate", None)
-def _(s, d):
-    m, links, name = lifecycle.consolidate(V(s, d), now())
-    n = m.agg(F.count("*").alias("memories"), r6(F.sum("strength")).alias("total_strength"))
-    return n.crossJoin(links.agg(F.count("*").alias("links"))).crossJoin(name)
-
-
 # Deduplication
 
 

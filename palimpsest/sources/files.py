@@ -25,6 +25,11 @@ def _tagged(df: DataFrame, tags: Sequence[str], kind: str, at: str) -> DataFrame
 def read_lines(spark: SparkSession, path: str, tags: Sequence[str] = (), kind: str = "Semantic", at: str = NOW, separator: str | None = None, least: int = LEAST_BYTES) -> DataFrame:
     """A memory a line, blank and very short ones left out; `separator` divides Markdown by empty lines."""
     lines = spark.read.option("lineSep", separator).text(path) if separator else spark.read.text(path)
+    return memories_of_lines(lines, tags, kind, at, least)
+
+
+def memories_of_lines(lines: DataFrame, tags: Sequence[str] = (), kind: str = "Semantic", at: str = NOW, least: int = LEAST_BYTES) -> DataFrame:
+    """Memories of a table of lines (value)."""
     x = lines.select(F.trim(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("content")).where(F.octet_length("content") >= least)
     return _tagged(x, tags, kind, at)
 
@@ -68,10 +73,12 @@ def read_any(spark: SparkSession, path: str, **how) -> DataFrame:
     return {"json": read_json, "csv": read_csv, "md": read_markdown}.get(kind, read_lines)(spark, path, **how)
 
 
-def export(m: DataFrame, limit: int = 10_000, procedural: bool = True) -> DataFrame:
-    """What is exported: the strongest semantic, the newest episodic and (unless not wanted) the procedural memories."""
+def export(m: DataFrame, limit: int | None = None, procedural: bool = True) -> DataFrame:
+    """What is exported: semantic, episodic and (unless not wanted) procedural memories; with a limit, the strongest semantic, newest episodic and strongest procedural ones."""
     from ..operators.retrieval import list_memories
 
+    if limit is None:
+        return m.where(F.col("memory_type").isin("Semantic", "Episodic", *(["Procedural"] if procedural else [])))
     return list_memories(m, limit, procedural)
 
 
