@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,15 +45,14 @@ def embed_tokens(text: Column, stop: bool = True, apostrophe: bool = True) -> Co
 
 
 def classify(text: Column) -> Column:
-    """Procedural, Semantic or Episodic by phrases, in this order."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    has = lambda *p: [t.contains(x) for x in p]
-    some = lambda cs: F.greatest(*cs) if len(cs) > 1 else cs[0]
-    return (
-        F.when((t.contains("when ") & t.contains(" then ")) | some(has("pattern:", "how to ", "always ", "never ")), "Procedural")
-        .when(some(has(" is ", " are ", " means ", "definition:", "fact:")), "Semantic")
-        .otherwise("Episodic")
-    )
+    """Procedural, Semantic or Episodic by phrases, in this order; the text is brought to lower case once a row, also where a filter evaluates this."""
+    some = lambda t, *p: reduce(lambda a, b: a | b, [t.contains(x) for x in p])
+
+    def kind(t: Column) -> Column:
+        procedural = (t.contains("when ") & t.contains(" then ")) | some(t, "pattern:", "how to ", "always ", "never ")
+        return F.when(procedural, "Procedural").when(some(t, " is ", " are ", " means ", "definition:", "fact:"), "Semantic").otherwise("Episodic")
+
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), kind)[0]
 
 
 def key_info(text: Column) -> Column:

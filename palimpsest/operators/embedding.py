@@ -45,7 +45,7 @@ def hash_embed(m: DataFrame, dim: int = 256, stop: bool = True) -> DataFrame:
                 if len(h):
                     k = coded.indices.to_numpy()
                     who = np.repeat(np.arange(b.num_rows), np.diff(off))
-                    np.add.at(x, (who, (h % dim)[k]), np.where((h >> 16) & 1, -1.0, 1.0)[k])
+                    x = np.bincount(who * dim + (h % dim)[k], np.where((h >> 16) & 1, -1.0, 1.0)[k], b.num_rows * dim).reshape(b.num_rows, dim)
                 n = np.linalg.norm(x, axis=1, keepdims=True)
                 x = np.divide(x, n, out=x, where=n > 0)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dim), pa.array(x.ravel()))

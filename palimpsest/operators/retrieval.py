@@ -27,9 +27,21 @@ def query_terms(spark: SparkSession, query: str) -> dict[str, int]:
 
 
 def has_term(low: Column, term: str) -> Column:
-    """Whether a lower-case text holds a term between its breaks; most texts without it are told by a plain search."""
-    inside = r"[\p{IsAlphabetic}\p{N}_]"
-    return low.contains(term) & low.rlike(f"(?<!{inside}){re.escape(term)}(?!{inside})")
+    """Whether a lower-case text holds a term between its breaks.  The term stands first in the expression, so that its breaks are looked at only where it is."""
+    inside, t = r"[\p{IsAlphabetic}\p{N}_]", re.escape(term)
+    return low.rlike(f"{t}(?<!{inside}{t})(?!{inside})")
+
+
+def _tested(m: DataFrame, tests: Sequence[Column], *columns: str) -> tuple[DataFrame, list[Column]]:
+    """`columns` of m and the tests' results as bits, each test made once a row, however often its result is asked for; and the results as Columns."""
+    groups = [tests[k : k + 60] for k in range(0, len(tests), 60)]
+    bits = F.array(*[reduce(lambda a, b: a + b, [F.when(t, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, t in enumerate(g)]) for g in groups])
+    # a generated column is not evaluated again inside later expressions
+    return m.select(*columns, F.explode(F.array(bits)).alias("__bits")), [F.col("__bits")[k // 60].bitwiseAND(F.lit(1 << k % 60)) != 0 for k in range(len(tests))]
+
+
+def _total(parts: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a + b, parts, F.lit(0))
 
 
 def index_hits(m: DataFrame, query: str, *columns: str) -> DataFrame:
@@ -40,9 +52,10 @@ def index_hits(m: DataFrame, query: str, *columns: str) -> DataFrame:
     q = query_terms(m.sparkSession, query)
     if not q:
         return m.select("id", *columns, F.lit(0).alias("terms"), F.lit(0).cast("bigint").alias("score")).where("false")
-    low = F.lower(F.coalesce("content", F.lit("")))
-    found = m.select("id", *columns, F.array(*[F.when(has_term(low, t), F.lit(n)) for t, n in q.items()]).alias("h")).select("id", *columns, F.filter("h", lambda n: n.isNotNull()).alias("h"))
-    return found.where("size(h) > 0").select("id", *columns, F.size("h").alias("terms"), F.aggregate("h", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("score"))
+    low = m.select("id", *columns, F.lower(F.coalesce("content", F.lit(""))).alias("__low"))
+    found, has = _tested(low, [has_term(F.col("__low"), t) for t in q], "id", *columns)
+    score = _total([F.when(h, n).otherwise(0) for h, n in zip(has, q.values())])
+    return found.where(reduce(lambda a, b: a | b, has)).select("id", *columns, _total([h.cast("int") for h in has]).alias("terms"), score.cast("bigint").alias("score"))
 
 
 def search_and(m: DataFrame, query: str) -> DataFrame:
@@ -139,14 +152,18 @@ def recall(m: DataFrame, query: str, now: Column, limit: int = 10, vector: Seque
     words = query_keywords(query)
     q = query_terms(m.sparkSession, query)
     semantic, episodic = F.col("memory_type") == "Semantic", F.col("memory_type") == "Episodic"
-    low, about = F.lower(F.coalesce("content", F.lit(""))), F.lower(F.coalesce("context", F.lit("")))
-    holds = lambda t: low.contains(t.lower()) | about.contains(t.lower())
-    score = reduce(lambda a, b: a + b, [F.when(has_term(low, t), F.lit(n)).otherwise(F.lit(0)) for t, n in q.items()], F.lit(0))
-    # (search, by what it ranks); None where a memory doesn't answer it
-    marks = [F.when(semantic, F.struct(F.lit(0).alias("s"), F.col("strength").alias("by"))), F.when(semantic & (score > 0), F.struct(F.lit(1).alias("s"), score.cast("double").alias("by"))), F.when(semantic & holds(query), F.struct(F.lit(2).alias("s"), F.col("strength").alias("by")))]
-    for k, word in enumerate(words):
-        marks += [F.when(kind & holds(word), F.struct(F.lit(3 + 2 * k + j).alias("s"), F.col("strength").alias("by"))) for j, kind in enumerate((episodic, semantic))]
-    marked = m.where(semantic | episodic).select("id", F.explode(F.filter(F.array(*marks), lambda x: x.isNotNull())).alias("x")).select("id", "x.s", "x.by")
+    low, about = F.col("__low"), F.col("__about")
+    lowered = m.where(F.col("memory_type").isin("Semantic", "Episodic")).select("id", "memory_type", "strength", F.lower(F.coalesce("content", F.lit(""))).alias("__low"), F.lower(F.coalesce("context", F.lit(""))).alias("__about"))
+    texts = [query, *words]
+    tested, has = _tested(lowered, [has_term(low, t) for t in q] + [low.contains(t.lower()) | about.contains(t.lower()) for t in texts], "id", "memory_type", "strength")
+    terms, holds = has[: len(q)], has[len(q) :]
+    score = _total([F.when(h, n).otherwise(0) for h, n in zip(terms, q.values())])
+    # (search, by what it ranks); null where a memory doesn't answer it
+    mark = lambda hit, k, by: F.when(hit, F.struct(F.lit(k).alias("s"), by.cast("double").alias("by")))
+    marks = [mark(semantic, 0, F.col("strength")), mark(semantic & (score > 0), 1, score), mark(semantic & holds[0], 2, F.col("strength"))]
+    for k, h in enumerate(holds[1:]):
+        marks += [mark(kind & h, 3 + 2 * k + j, F.col("strength")) for j, kind in enumerate((episodic, semantic))]
+    marked = tested.select("id", F.explode(F.array(*marks)).alias("x")).where("x is not null").select("id", "x.s", "x.by")
     most = max(among, 2 * limit)
     rank = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("by"), "id"))
     ranked = marked.withColumn("r", rank).where(F.col("r") <= most)
