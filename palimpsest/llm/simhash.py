@@ -4,9 +4,12 @@ A signature has 256 bits over the distinct lower-case words of a text.  It is a
 ring of m = 32 segments of 8 bits.  For two signatures within `tau` bits, the
 pigeonring principle says that from some start every prefix of the ring, l
 segments long, differs in at most l * tau / m bits.  Candidates are rows that
-agree in a chain of two consecutive segments, from any of the 32 starts: none
-within 15 bits can be missed, since 2 * 15 < 32; beyond, the share found is
-measured in the tests (over 0.97 of the pairs within 40 bits of the test data).
+agree in a chain of two consecutive segments, from any of the 32 starts, and in
+one of the sixteen segments around it, which are 24 bits in all: of rows that are
+strangers, one in a million is compared.  None within 15 bits can be missed: 17
+equal segments or more stand in the ring, so two are neighbours, and sixteen
+unequal ones around them would be more than 15 bits.  Beyond, the share found is
+measured in the tests.
 A candidate goes to the full check only if, from some start, all prefixes up to
 CHAIN segments stay within their budgets.
 
@@ -30,6 +33,8 @@ from .common import mapped, mix64, one_per_id, packed, written
 from .graph import components
 
 TAU, SEGMENTS, CHAIN = 40, 32, 8
+#: Where, from the first of two equal segments, a third is looked for.
+NEAR = (*range(-8, 0), *range(2, 10))
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -86,47 +91,59 @@ def ring_ok(a: np.ndarray, b: np.ndarray, tau: int = TAU, chain: int = CHAIN) ->
 
 
 def bucket_edges(key: np.ndarray, ids: np.ndarray, sig: np.ndarray, tau: int = TAU) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the components of each bucket, rows sorted by key: row i is held against i + 1, i + 2, ... of its bucket; pairs already joined are skipped."""
+    """Edges that span the components of the candidates of each bucket, rows sorted by key; pairs already joined are skipped.
+
+    Within a bucket, for each place near its two equal segments, rows that agree there
+    too stand together: row i is held against i + 1, i + 2, ... of its like.
+    """
     n = len(key)
-    label, index = np.arange(n), np.arange(n)
-    new = np.ones(n, bool)
-    new[1:] = key[1:] != key[:-1]
-    begin = np.nonzero(new)[0]
-    end = np.repeat(np.append(begin[1:], n), np.diff(np.append(begin, n)))
-    found_a, found_b, shift = [], [], 0
-    live = index
-    while True:
-        shift += 1
-        live = live[live + shift < end[live]]
-        if not len(live):
-            break
-        merged = False
-        for at in range(0, len(live), 50_000):
-            i = live[at : at + 50_000]
-            i = i[label[i] != label[i + shift]]
-            if not len(i):
-                continue
-            a, b = sig[i], sig[i + shift]
-            ok = ring_ok(a, b, tau)
-            i, a, b = i[ok], a[ok], b[ok]
-            i = i[np.bitwise_count(a ^ b).sum(axis=1) <= tau]
-            if len(i):
-                found_a.append(ids[i])
-                found_b.append(ids[i + shift])
-                merged = True
-                x, y = label[i], label[i + shift]
-                while len(x):
-                    np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-                    while (label[label] != label).any():
-                        label = label[label]
-                    x, y = label[x], label[y]
-                    x, y = x[x != y], y[x != y]
-        if merged and shift > 8:
-            # buckets that became one component need no further pairs
-            low = np.minimum.reduceat(label, begin)
-            high = np.maximum.reduceat(label, begin)
-            done = np.repeat(low == high, np.diff(np.append(begin, n)))
-            live = live[~done[live]]
+    by = np.ascontiguousarray(sig).view(np.uint8).reshape(n, SEGMENTS)
+    label = np.arange(n)
+    found_a, found_b = [], []
+    for place in NEAR:
+        third = by[np.arange(n), ((key >> 16) + place) % SEGMENTS]
+        order = np.argsort((key << 8) | third, kind="stable")
+        group = ((key << 8) | third)[order]
+        new = np.ones(n, bool)
+        new[1:] = group[1:] != group[:-1]
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, n))
+        end = np.repeat(np.append(begin[1:], n), size)
+        live = np.flatnonzero(np.repeat(size > 1, size))
+        shift = 0
+        while True:
+            if shift in (0, 8) or shift > 8 and merged:
+                # groups that are one component need no further pairs
+                own = label[order]
+                joined = np.minimum.reduceat(own, begin) == np.maximum.reduceat(own, begin)
+                live = live[~np.repeat(joined, size)[live]]
+            shift += 1
+            live = live[live + shift < end[live]]
+            if not len(live):
+                break
+            merged = False
+            for at in range(0, len(live), 50_000):
+                i, j = order[live[at : at + 50_000]], order[live[at : at + 50_000] + shift]
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                if not len(i):
+                    continue
+                a, b = sig[i], sig[j]
+                ok = ring_ok(a, b, tau)
+                i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+                ok = np.bitwise_count(a ^ b).sum(axis=1) <= tau
+                i, j = i[ok], j[ok]
+                if len(i):
+                    found_a.append(ids[i])
+                    found_b.append(ids[j])
+                    merged = True
+                    x, y = label[i], label[j]
+                    while len(x):
+                        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+                        while (label[label] != label).any():
+                            label = label[label]
+                        x, y = label[x], label[y]
+                        x, y = x[x != y], y[x != y]
     empty = np.zeros(0, np.int64)
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (empty, empty)
 

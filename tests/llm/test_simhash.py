@@ -65,6 +65,28 @@ def test_recall_against_all_pairs(spark):
     assert all(exact[d] == exact[k] for d, k in group.items())
 
 
+def found_share(distance, n=2000):
+    """The share of lone random pairs at a distance that candidate search finds."""
+    rng = np.random.default_rng(distance)
+    a = rng.integers(0, 2**63, (n, 4), dtype=np.uint64)
+    bits = np.unpackbits(a.view(np.uint8).reshape(n, 32), axis=1)
+    for row in bits:
+        row[rng.choice(256, distance, replace=False)] ^= 1
+    sig = np.concatenate([a, np.packbits(bits, axis=1).view(np.uint64).reshape(n, 4)])
+    by = sig.view(np.uint8).reshape(-1, 32).astype(np.int64)
+    key = ((np.arange(32)[None, :] << 16) | (by << 8) | np.roll(by, -1, axis=1)).ravel()
+    order = np.argsort(key, kind="stable")
+    x, y = simhash.bucket_edges(key[order], np.repeat(np.arange(2 * n), 32)[order], np.repeat(sig, 32, axis=0)[order])
+    assert (np.abs(x - y) == n).all()
+    return len(set(np.minimum(x, y).tolist())) / n
+
+
+def test_recall_by_distance():
+    # none is lost within 15 bits; lone pairs beyond are found by these shares
+    for distance, least in ((1, 1), (8, 1), (15, 1), (20, 0.999), (24, 0.995), (28, 0.99), (32, 0.96), (36, 0.92), (40, 0.82)):
+        assert found_share(distance) >= least, distance
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
