@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm.bpe import encode_documents
-from palimpsest.llm.common import shared_folder, table
+from palimpsest.llm.common import shared_folder, table, until_exit
 from palimpsest.llm.mixing import mix_documents
 from palimpsest.llm.quality import apply_quality
 from palimpsest.llm.secrets import redact_secrets
@@ -55,10 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages on `documents`, each result written as Parquet to the shared folder and read again."""
+    """The stages on `documents`, each result written as Parquet to the shared folder and read again; the folder goes when the driver ends."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+    until_exit(spark, folder)
     return docs
