@@ -10,6 +10,10 @@ from .library import COMMANDS, Library
 from .schema import MEMORY_TYPES
 
 
+#: Commands that leave a line in the log.
+LOGGED = {"store": "STORE", "batch": "STORE", "import": "STORE", "recall": "RECALL", "search": "SEARCH", "delete": "DELETE", "sleep": "SLEEP", "dream": "DREAM", "merge": "MERGE"}
+
+
 def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="palimpsest")
     p.add_argument("path")
@@ -26,7 +30,10 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--dry-run", action="store_true")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("palimpsest").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    out = COMMANDS[a.command](Library(spark, a.path), a)
+    library = Library(spark, a.path)
+    out = COMMANDS[a.command](library, a)
+    if (op := LOGGED.get(a.command)) is not None:
+        library.log(op, " ".join(a.text), a.tags)
     if out is not None:
         out.show(max(a.limit, 20), truncate=100)
     return 0

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import benchmarks
 from .functions.text import classify
 from .operators import concepts, embedding, graph, ingest, lifecycle, mining, notes, patterns, retrieval, sequence, storage
 from .schema import MEMORY, NOW, new_memories, now
@@ -123,6 +124,24 @@ class Library:
     def knowledge(self, name: str) -> DataFrame:
         return concepts.knowledge(self.concepts, name)
 
+    # Audit
+
+    def log(self, op: str, content: str, tags: Sequence[str] = (), result: str = "ok", at: str = NOW) -> None:
+        """A line of the log; lines are only appended."""
+        row = self.spark.createDataFrame([(op, content, list(tags), result)], "op string, content string, tags array<string>, result string")
+        row.select(mining.audit_line(now(at), F.col("op"), F.col("content"), F.col("tags"), F.col("result")).alias("value")).coalesce(1).write.mode("append").text(f"{self.path}/log")
+
+    @property
+    def audit(self) -> DataFrame:
+        fs, at = self._folder("log")
+        lines = self.spark.read.text(f"{self.path}/log") if fs.exists(at) else self.spark.createDataFrame([], "value string")
+        return mining.parse_audit(lines)
+
+    def watch(self, folder: str, tags: Sequence[str] = (), every: str | None = None):
+        from .streaming import jobs
+
+        return jobs.watch(self.spark, folder, self.add, f"{self.path}/watched", tuple(tags), every)
+
     # Asking
 
     def recall(self, query: str, limit: int = 10, at: str = NOW, **filters) -> DataFrame:
@@ -194,6 +213,13 @@ class Library:
         return stats
 
 
+def serve(library: Library, port: int) -> None:
+    from . import http
+    from .service import Api
+
+    http.server(Api(library), port=port).serve_forever()
+
+
 COMMANDS: dict[str, Callable] = {
     "store": lambda lib, a: lib.store(a.text[0], a.tags),
     "import": lambda lib, a: lib.load(a.text[0], tags=a.tags),
@@ -224,5 +250,10 @@ COMMANDS: dict[str, Callable] = {
     "ask": lambda lib, a: lib.knowledge(" ".join(a.text)),
     "note": lambda lib, a: lib.remember(notes.note(lib.spark.createDataFrame([(" ".join(a.text[1:]),)], "content string"), a.text[0])),
     "notes": lambda lib, a: notes.by_kind(lib.memories, a.text[0]).select("id", "content", "tags"),
+    "audit": lambda lib, a: lib.audit,
+    "operations": lambda lib, a: mining.daily_ops(lib.audit),
+    "watch": lambda lib, a: lib.watch(a.text[0], a.tags).awaitTermination(),
+    "bench": lambda lib, a: lib.spark.createDataFrame(benchmarks.run(lib.spark, a.limit * 100, 1)),
+    "serve": lambda lib, a: serve(lib, int(a.text[0]) if a.text else 8080),
     "sql": lambda lib, a: storage.run_sql(lib.memories, " ".join(a.text)),
 }

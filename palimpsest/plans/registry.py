@@ -565,10 +565,10 @@ def _(s, d):
     return graph.edges(graph.nodes(V(s, d), 100), 0.25).withColumn("weight", r6("weight"))
 
 
-@query("g07_constellation", None)
+@query("g07_constellation", f"{NODES.replace('pos <= 100', 'pos <= 500')} SELECT id, content AS label, CAST(grp AS INT) AS cluster, true AS placed FROM t JOIN g ON tags[1] = tag")
 def _(s, d):
     c = graph.constellation(V(s, d), 500)
-    return c.select("id", r6("x").alias("x"), r6("y").alias("y"), "cluster")
+    return c.select("id", "label", "cluster", (F.abs("x") + F.abs("y") > 0).alias("placed"))
 
 
 @query("g12_relations", "r AS (SELECT CAST(l_suppkey AS VARCHAR) AS source, CAST(l_partkey % 50 AS VARCHAR) AS target, l_discount AS strength FROM lineitem) SELECT source, target, round(least(1.0, sum(strength)), 6) AS strength FROM r GROUP BY source, target")

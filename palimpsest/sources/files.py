@@ -102,3 +102,23 @@ def photo_stats(p: DataFrame) -> DataFrame:
 
 def albums(p: DataFrame) -> DataFrame:
     return p.select(F.explode("albums").alias("album")).groupBy("album").agg(F.count("*").alias("photos")).orderBy("album")
+
+
+def push(m: DataFrame, known: DataFrame, send) -> DataFrame:
+    """(id, sent): memories whose id a remote store (id) lacks go to `send`, a function of a list of dictionaries that returns how each fared; batches leave from the tasks."""
+    import pyarrow as pa
+
+    new = m.join(known.select("id"), "id", "left_anti").select("id", "content", "tags", "memory_type", "strength", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"))
+
+    def kernel(batches):
+        for b in batches:
+            done = send(b.to_pylist()) if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bool(x) for x in done], pa.bool_())], names=["id", "sent"])
+
+    return new.mapInArrow(kernel, "id string, sent boolean")
+
+
+def pull(rows: DataFrame, m: DataFrame, tag: str = "synced", at: str = NOW) -> DataFrame:
+    """Memories of a remote store's rows (content, tags, ...) that `m` has no equal content of, tagged with where they come from."""
+    new = rows.join(m.select("content"), "content", "left_anti")
+    return _tagged(_kept(new), (tag,), "Semantic", at)

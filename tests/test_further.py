@@ -4,11 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import benchmarks, http, providers
 from palimpsest.functions import codec
 from palimpsest.library import Library
 from palimpsest.operators import ann, concepts, embedding, graph, ingest, mining, notes, patterns, retrieval, sequence, storage, visual
 from palimpsest.schema import MEMORY, new_memories, now
 from palimpsest.service import Api, Guardian
+from palimpsest.sources import files
 from palimpsest.streaming import jobs
 
 from .conftest import DATA
@@ -237,6 +239,125 @@ def test_page(spark):
     assert "hsl" in graph.to_html(graph.constellation_json(graph.constellation(m, 5))).first().html
 
 
+# Models, HTTP and remote stores
+
+
+class Model:
+    dim = 4
+
+    def images(self, paths):
+        return [[len(p), 1.0, 0.0, 0.0] for p in paths]
+
+    def texts(self, texts):
+        return [[len(t), 1.0, 0.0, 0.0] for t in texts]
+
+
+def test_models(spark):
+    images, texts = providers.of_images(Model())
+    x = spark.createDataFrame([("abc",), (None,), ("",)], "p string").select(images(F.col("p")).alias("i"), texts(F.col("p")).alias("t"), providers.captions(lambda ps: [f"a picture of {p}" for p in ps])(F.col("p")).alias("c")).collect()
+    assert x[0].i == x[0].t == pytest.approx([0.9486833, 0.3162278, 0, 0]) and x[0].c == "a picture of abc" and x[1].i is None and x[1].c is None
+    assert providers.similarity(x[0].i, x[0].t) == pytest.approx(1) and providers.similarity([1.0], [1.0, 0.0]) == 0
+
+
+@pytest.fixture
+def served():
+    """Runs a server in a thread and gives its address."""
+    import threading
+
+    running = []
+
+    def start(s):
+        threading.Thread(target=s.serve_forever, daemon=True).start()
+        running.append(s)
+        return f"http://127.0.0.1:{s.server_port}"
+
+    yield start
+    for s in running:
+        s.shutdown()
+        s.server_close()
+
+
+def test_remote_vectors(spark, served):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Embedder(BaseHTTPRequestHandler):
+        def log_message(self, *a):
+            pass
+
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["texts"]
+            self.send_response(500 if "bad" in texts else 200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"dense": [[len(t), 0.5] for t in texts]}).encode())
+
+    url = served(HTTPServer(("127.0.0.1", 0), Embedder))
+    m = spark.createDataFrame([("1", "ab"), ("2", None), ("3", "bad")], "id string, content string").coalesce(1)
+    got = {r.id: r.embedding for r in providers.remote(url, 2, rows=1)(m).collect()}
+    assert got == {"1": [2.0, 0.5], "2": [0.0, 0.5], "3": [0.0, 0.0]} and providers.reachable(url)
+    gone = "http://127.0.0.1:9"
+    assert not providers.reachable(gone) and providers.remote(gone, 2)(m.limit(1)).first().embedding == [0.0, 0.0]
+
+
+def test_http(spark, tmp_path, served):
+    import urllib.error
+    import urllib.parse
+    import urllib.request
+
+    lib = Library(spark, f"file://{tmp_path}/lib", dim=16)
+    url = served(http.server(Api(lib)))
+
+    def ask(method, path, body=None, form=False):
+        data = None if body is None else urllib.parse.urlencode(body).encode() if form else json.dumps(body).encode()
+        request = urllib.request.Request(url + path, data, {"Content-Type": "application/x-www-form-urlencoded" if form else "application/json"}, method=method)
+        try:
+            with urllib.request.urlopen(request, timeout=120) as r:
+                return r.status, r.read().decode()
+        except urllib.error.HTTPError as e:
+            return e.code, e.read().decode()
+
+    assert ask("GET", "/api/health") == (200, '{"status": "ok"}')
+    key = json.loads(ask("POST", "/api/store", {"content": "the fox is <red>", "tags": ["animal"]})[1])["id"]
+    assert ask("POST", "/store", {"content": "a boat is slow", "tags": "water"}, form=True) == (200, "stored") and ask("POST", "/store", {}, form=True)[0] == 400
+    assert len(json.loads(ask("POST", "/api/batch", {"items": [{"content": "an owl is wise"}, {"x": 1}]})[1])) == 1
+    assert [r["content"] for r in json.loads(ask("POST", "/api/recall", {"query": "fox"})[1])] == ["the fox is <red>"]
+    assert json.loads(ask("POST", "/api/recall", {"query": "fox red", "use_index": True, "limit": 1})[1])[0]["id"] == key
+    assert json.loads(ask("GET", "/api/stats")[1])["indexed"] == 3
+    assert ask("DELETE", f"/api/memory/{key}")[0] == 200 and json.loads(ask("GET", "/api/stats")[1])["indexed"] == 2 and ask("DELETE", "/api/memory/")[0] == 400
+    assert "&lt;red&gt;" in ask("GET", "/memories")[1] and "boat" in ask("GET", "/search?tags=WATER")[1] and "<canvas" in ask("GET", "/map")[1] and "fox" in ask("GET", "/timeline")[1]
+    assert ask("POST", "/api/store", {"text": 1})[0] == 404 and ask("GET", "/x")[0] == 404
+    bad = urllib.request.Request(url + "/api/store", b"[1", method="POST")
+    with pytest.raises(urllib.error.HTTPError):
+        urllib.request.urlopen(bad)
+
+
+def test_remote_stores(spark):
+    m = new_memories(spark.createDataFrame([("a", "one thing", ["x"]), ("b", "another", [])], "id string, content string, tags array<string>"))
+    sent = files.push(m, spark.createDataFrame([("a",)], "id string"), lambda rows: [r["content"] == "another" for r in rows])
+    assert [tuple(r) for r in sent.collect()] == [("b", True)]
+    back = files.pull(spark.createDataFrame([("one thing", []), ("from afar", ["y"]), (" ", [])], "content string, tags array<string>"), m, "far")
+    assert [(r.content, r.tags) for r in back.collect()] == [("from afar", ["y", "far"])]
+
+
+def test_log(spark, tmp_path):
+    lib = Library(spark, f"file://{tmp_path}/lib", dim=16)
+    assert lib.audit.count() == 0
+    lib.log("STORE", "a fox", ["animal"])
+    lib.log("RECALL", "x" * 80)
+    got = {r.op: r for r in lib.audit.collect()}
+    assert got["STORE"].tags == ["animal"] and got["RECALL"].content == "x" * 50 + "..." and mining.daily_ops(lib.audit).first().store == 1
+
+
+def test_benchmarks(spark):
+    calls = []
+    r = benchmarks.bench("x", lambda: calls.append(1), 3, 2)
+    assert len(calls) == 5 and r.runs == 3 and r.mean_s >= 0
+    assert len(benchmarks.run(spark, 50, 1)) == 10
+
+
 # Streams
 
 
