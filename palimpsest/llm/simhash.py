@@ -5,8 +5,8 @@ ring of m = 32 segments of 8 bits.  For two signatures within `tau` bits, the
 pigeonring principle says that from some start every prefix of the ring, l
 segments long, differs in at most l * tau / m bits.  Candidates are rows that
 agree in a chain of two consecutive segments, from any of the 32 starts, and in
-one of the sixteen segments around it, which are 24 bits in all: of rows that are
-strangers, one in a million is compared.  None within 15 bits can be missed: 17
+one of the sixteen segments around it: from each start, one in a million pairs of
+strangers is compared.  None within 15 bits can be missed: 17
 equal segments or more stand in the ring, so two are neighbours, and sixteen
 unequal ones around them would be more than 15 bits.  Beyond, the share found is
 measured in the tests.
