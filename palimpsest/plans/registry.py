@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec, scoring, text, vectors
-from ..operators import embedding, graph, lifecycle, mining, retrieval, sequence, sketch, storage
+from ..operators import embedding, graph, lifecycle, mining, retrieval, sequence, storage
 from ..schema import DERIVED_SQL, document_memories, event_memories, now, read, vector_memories
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -460,6 +458,13 @@ def _(s, d):
     return mining.insights(M(s, d), now())
 
 
+def _log(s: SparkSession, d: str) -> DataFrame:
+    """Events as an audit log: written as lines, and read again."""
+    op = F.expr("case event_type when 'view' then 'RECALL' when 'signup' then 'STORE' when 'purchase' then 'SEARCH' else 'SLEEP' end")
+    lines = read(s, d, "events").select(mining.audit_line(F.col("ts").cast("timestamp"), op, F.col("props"), F.array("event_type"), F.lit("ok")).alias("value"))
+    return mining.parse_audit(lines)
+
+
 OPS = "o AS (SELECT date_trunc('second', CAST(ts AS TIMESTAMP)) AS t_at, CASE event_type WHEN 'view' THEN 'RECALL' WHEN 'signup' THEN 'STORE' WHEN 'purchase' THEN 'SEARCH' ELSE 'SLEEP' END AS op FROM events)"
 COUNTS = ", ".join(f"count(*) FILTER (op = '{x}') AS {x.lower()}" for x in ("STORE", "RECALL", "SEARCH"))
 
