@@ -90,3 +90,42 @@ def test_odd_rows(odd, made, docs):
     assert {r.lang for r in langid.identify(made([(1, "abc", None, "s"), (2, "", "en", "s")])).collect()} == {None}
     one = langid.identify(made([(1, "abc", "en", "s"), (2, "xyz", None, "s")])).collect()
     assert {(r.lang, r.confidence) for r in one} == {("en", 1.0)}
+
+
+def test_whole_query_against_brute_force(docs):
+    """Every document's language and confidence from n-grams, weights and temperature, step by step."""
+    model = langid.train(docs)
+    got = {r.doc_id: (r.lang, r.confidence) for r in langid.identify(docs).collect()}
+    for r in docs.collect():
+        if not r.text:
+            assert got[r.doc_id] == (None, None)
+            continue
+        x = {k: n * model.idf[k] for k, n in brute_ngrams(r.text.lower()).items()}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        s = [(sum(v / norm * model.weights[k, c] for k, v in x.items()) + model.bias[c]) / model.temperature for c in range(len(model.languages))]
+        p = np.exp(np.array(s) - max(s))
+        p /= p.sum()
+        lang, confidence = got[r.doc_id]
+        assert lang == model.languages[int(np.argmax(p))] and abs(confidence - p.max()) < 1e-5
+
+
+def test_temperature_is_the_best_on_held_out_rows(docs):
+    rows = langid.sample_of(docs, 30)
+    idf = langid.inverse_frequencies(docs)
+    model = langid.fit(rows, idf)
+    held = np.random.default_rng(0).permutation(len(rows))[: len(rows) // 5]
+
+    def loss(t):
+        out = []
+        for i in held:
+            at, x = langid.weighted(rows[i][1], idf)
+            p = langid.softmax((x @ model.weights[at] + model.bias) / t)
+            out.append(-np.log(p[model.languages.index(rows[i][0])] + 1e-300))
+        return np.mean(out)
+
+    assert all(loss(model.temperature) <= loss(t) + 1e-4 for t in np.exp(np.linspace(-3.9, 3.9, 60)))
+
+
+def test_ties_go_to_the_first_language():
+    none = langid.Model(["aa", "bb"], np.ones(1 << langid.BITS), np.zeros((1 << langid.BITS, 2), np.float32), np.zeros(2), 1.0)
+    assert langid.predict("any text", none) == ("aa", 0.5)

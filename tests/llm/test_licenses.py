@@ -1,6 +1,7 @@
 import random
 import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -140,3 +141,37 @@ def test_tables(docs, odd, made):
     text = "x " * 300_000 + "Released under the MIT License."
     d = made([(1, text, "en", "s"), (1, text, "en", "s"), (None, "İ All Rights Reserved", None, None)]).withColumn("start", F.lit(1)).withColumn("license", F.lit(1))
     assert sorted((str(r.doc_id), r.license, r.start) for r in licenses.find_licenses(d).collect()) == [("1", "MIT-notice", 600_000)] * 2 + [("None", "All-rights-reserved", 2)]
+
+
+def test_whole_query_against_brute_force(docs):
+    """Parts from all diagonals of text against template, without an automaton, then chains."""
+    words = {n: licenses.WORD.findall(t.lower()) for n, t in licenses.TEMPLATES.items()}
+    number = {w: i for i, w in enumerate(sorted({w for t in words.values() for w in t}))}
+    coded = {n: np.array([number[w] for w in t]) for n, t in words.items()}
+    want = []
+    for r in docs.collect():
+        at = [m.span() for m in licenses.WORD.finditer(r.text.lower())]
+        text = np.array([number.get(r.text.lower()[a:b], -1) for a, b in at])
+        for name, t in coded.items():
+            if not np.isin(text, t).any():
+                continue
+            same = text[:, None] == t[None, :]
+            runs = []
+            for d in range(-len(t) + 1, len(text)):
+                diagonal = np.concatenate([[False], np.diagonal(same, -d), [False]]).astype(np.int8)
+                step = np.diff(diagonal)
+                for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1)):
+                    if b - a >= licenses.MIN_MATCH:
+                        i, j = (a + d, a) if d >= 0 else (a, a - d)
+                        runs.append((int(i), int(i + b - a), int(j), int(j + b - a)))
+            runs.sort()
+            best, start = licenses.best_chains(runs, len(t))
+            good = [(n, s, p[1]) for n, s, p in zip(best, start, runs) if n >= licenses.COVERAGE * len(t)]
+            want += [(r.doc_id, name, at[s][0], at[e - 1][1], min(n, len(t))) for n, s, e in licenses.without_overlaps(good)]
+    got = sorted(tuple(r)[:5] for r in licenses.find_licenses(docs).collect())
+    assert got and got == sorted(want)
+
+
+def test_of_equal_overlapping_findings_the_first_stays():
+    a = licenses.build({"t": "one two three one two"})
+    assert [h[1:4] for h in licenses.scan("one two three one two three one two", a)] == [(0, 21, 5)]

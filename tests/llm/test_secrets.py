@@ -132,3 +132,34 @@ def test_allow_list_looks_back_however_far():
         began = time.perf_counter()
         assert len(secrets.scan(text)) in (1, 20_000)
         assert time.perf_counter() - began < 20
+
+
+def test_whole_query_against_brute_force(spark):
+    """Classes by every window's entropy, the allow-list by expressions that look back to the beginning."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stop = r"\s?#\"'`<>()\[\]{},;|\\=&"
+    before = re.compile(rf"(?i)(?:://|www\.)[^{stop}/]*(?P<path>/(?:(?!%3)[^{stop}:])*)?\Z")
+    digest = re.compile(r"(?i)(?:sha-?\d{1,3}|md5|checksum|digest|integrity|commit|revision|etag)[\"']?\s*[:=\-( ]\s*[\"']?\Z")
+
+    def kind_of(word):
+        for kind in secrets.CLASSES:
+            most = max((brute(r, kind) for r in kind.run.findall(word)), default=0.0)
+            if most >= kind.threshold:
+                return kind.name, most
+        return None
+
+    want = []
+    for r in docs.collect():
+        text = r.text or ""
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+            word = m[0]
+            if secrets.ALLOWED_INSIDE.search(word) or digest.search(text, 0, m.start()):
+                continue
+            url = before.search(text, 0, m.start())
+            if url and not re.compile(rf"[^{stop}/]*@").match(text, m.end()):
+                word = word.partition("/")[0] if url["path"] is None else word if text[m.start() - 1] == "%" and word[0] == "3" else ""
+            if kind_of(m[0]) and (found := kind_of(word)):
+                want.append((r.doc_id, found[0], m.start(), m.end(), round(found[1], 4)))
+    got = sorted((r.doc_id, r.kind, r.start, r.end, round(r.entropy, 4)) for r in secrets.find_secrets(docs).collect())
+    assert got and [g[:4] for g in got] == sorted(w[:4] for w in want)
+    assert all(abs(g[4] - w[4]) < 2e-4 for g, w in zip(got, sorted(want)))
