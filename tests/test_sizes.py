@@ -5,6 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from palimpsest.functions import vectors
 from palimpsest.operators import graph
 
 
@@ -19,3 +20,17 @@ def test_holders_do_not_copy_texts(spark):
     assert sorted(found.collect()) == sorted((i, c) for i, t in low for c in set(news) if c.lower() in t)
     # a row for each place of a text, with the text, is what filled the disk
     assert "Generate" not in found._jdf.queryExecution().toString()
+
+
+def _vectors(spark, n, dim=8):
+    x = np.random.default_rng(3).normal(size=(n, dim)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True), spark.createDataFrame([(f"{k:04}", v.tolist(), float(k * 37 % 10)) for k, v in enumerate(x)], "id string, embedding array<float>, strength double").withColumn("created_at", F.timestamp_seconds(F.col("id").cast("int")))
+
+
+def test_pairs_are_spread_over_tasks(spark):
+    x, m = _vectors(spark, 300)
+    found = vectors.similarity_pairs(m, 0.5, block_rows=50)
+    # a task for each pair of the six blocks, which small tables don't merge
+    assert found.rdd.getNumPartitions() == 21
+    sim = x.astype(float) @ x.T.astype(float)
+    assert {(r.a, r.b) for r in found.collect()} == {(f"{a:04}", f"{b:04}") for a in range(300) for b in range(a + 1, 300) if sim[a, b] >= 0.5}
