@@ -27,6 +27,20 @@ def _vectors(spark, n, dim=8):
     return x / np.linalg.norm(x, axis=1, keepdims=True), spark.createDataFrame([(f"{k:04}", v.tolist(), float(k * 37 % 10)) for k, v in enumerate(x)], "id string, embedding array<float>, strength double").withColumn("created_at", F.timestamp_seconds(F.col("id").cast("int")))
 
 
+def test_clusters_list_no_pairs(spark, monkeypatch):
+    x, m = _vectors(spark, 300)
+    monkeypatch.setattr(graph, "similarity_pairs", lambda *_: 1 / 0)
+    got = {(r.primary_id, r.member_id) for r in graph.clusters(m, 0.6, newest=False, chunk_values=160).collect()}
+    sim, order, taken, want = x.astype(float) @ x.T.astype(float), sorted(range(300), key=lambda k: (-(k * 37 % 10), k)), set(), set()
+    for place, k in enumerate(order):
+        if k not in taken:
+            own = [q for q in order[place + 1 :] if q not in taken and sim[k, q] >= 0.6]
+            taken.update(own)
+            first = min([k, *own])
+            want |= {(f"{first:04}", f"{q:04}") for q in [k, *own] if q != first}
+    assert got == want
+
+
 def test_pairs_are_spread_over_tasks(spark):
     x, m = _vectors(spark, 300)
     found = vectors.similarity_pairs(m, 0.5, block_rows=50)
