@@ -48,3 +48,11 @@ def test_pairs_are_spread_over_tasks(spark):
     assert found.rdd.getNumPartitions() == 21
     sim = x.astype(float) @ x.T.astype(float)
     assert {(r.a, r.b) for r in found.collect()} == {(f"{a:04}", f"{b:04}") for a in range(300) for b in range(a + 1, 300) if sim[a, b] >= 0.5}
+
+
+def test_associating_vectors_compares_no_words(spark):
+    n = 3000
+    m = spark.createDataFrame([(k, f"item {k}", [1.0, float(k)] if k else None) for k in range(n)], "id int, content string, embedding array<float>").withColumn("bare", F.col("embedding").isNull())
+    found = graph.similar_words(m, 0.3, "bare")
+    assert found.count() == n - 1 and found.agg(F.max("a")).first()[0] == 0
+    assert graph.similar_words(m.where("not bare"), 0.3, "bare").count() == 0
