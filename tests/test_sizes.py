@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors
 from palimpsest.operators import graph, mining
+from palimpsest.plans.registry import ORACLES, QUERIES
 
 
 def test_holders_do_not_copy_texts(spark):
@@ -62,3 +64,22 @@ def test_timeline_has_all_of_a_day(spark):
     m = spark.range(1500).select(F.format_string("%04d", "id").alias("id"), F.format_string("text %04d", "id").alias("content"), F.timestamp_seconds(F.lit(7)).alias("created_at"))
     row = mining.timeline(m).first()
     assert row.n == 1500 and row.previews == [f"text {k:04}" for k in range(1500)]
+
+
+@pytest.fixture(scope="module")
+def alike(spark, tmp_path_factory):
+    """Tables of 3,000 vectors, some near copies of others, and of 60,000 words more than a filter of 100,000 had room for at a low rate."""
+    d = tmp_path_factory.mktemp("alike")
+    x = np.random.default_rng(5).normal(size=(3000, 64))
+    x[1::3] = x[::3] + np.random.default_rng(6).normal(size=(1000, 64)) * 0.05
+    rows = [(k, v.astype(np.float32).tolist(), k % 10) for k, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(599)), lambda k: F.concat(F.when(k % 2 == 0, "e").otherwise("w"), (F.col("id") * 600 + k).cast("string"))))
+    spark.range(600).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source")).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, 1, "a", 1.0)], "event_id bigint, user_id bigint, event_type string, value double").withColumn("ts", F.timestamp_seconds(F.lit(0))).write.parquet(f"{d}/events.parquet")
+    return str(d)
+
+
+@pytest.mark.parametrize("name", "k01_bloom_both".split())
+def test_against_sql_on_alike(spark, duck, equal, alike, name):
+    equal(QUERIES[name](spark, alike), duck(ORACLES[name], alike))
