@@ -80,6 +80,6 @@ def alike(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", "k01_bloom_both".split())
+@pytest.mark.parametrize("name", "k01_bloom_both k08_counting_members".split())
 def test_against_sql_on_alike(spark, duck, equal, alike, name):
     equal(QUERIES[name](spark, alike), duck(ORACLES[name], alike))
