@@ -1,5 +1,6 @@
 """What held on small tables alone: sizes, copies and caps that larger ones bring out."""
 
+import math
 import random
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors
 from palimpsest.operators import graph, mining
+from palimpsest.plans import further
 from palimpsest.plans.registry import ORACLES, QUERIES
 
 
@@ -66,6 +68,11 @@ def test_timeline_has_all_of_a_day(spark):
     assert row.n == 1500 and row.previews == [f"text {k:04}" for k in range(1500)]
 
 
+def test_near_zero_keeps_its_sign(spark):
+    row = spark.sql("select array(-4e-7D, 4e-7D, -0.25D, 0.1234567D) as x").select(F.transform("x", further.signed6).alias("x")).first()
+    assert [(math.copysign(1, v), abs(v)) for v in row.x] == [(-1, 0), (1, 0), (-1, 0.25), (1, 0.123457)]
+
+
 @pytest.fixture(scope="module")
 def alike(spark, tmp_path_factory):
     """Tables of 3,000 vectors, some near copies of others, and of 60,000 words more than a filter of 100,000 had room for at a low rate."""
