@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, matrix
+from ..functions.vectors import cosine, matrix, nearest_pairs
 
 #: Vectors for each list that the centroids are fitted to.
 SAMPLE = 64
@@ -120,32 +120,32 @@ def stats(index: Index) -> DataFrame:
     return index.vectors.agg(F.count("*").alias("vectors"), F.lit(index.dim).cast("bigint").alias("dim"), F.count_distinct("list").alias("lists"))
 
 
-def search_all(index: Index, queries: DataFrame, k: int, probes: int = 8, after: bool = False, least: float | None = None) -> DataFrame:
-    """(query_id, id, similarity, rank): the k nearest of each query (query_id, embedding); a query of another size has none.
+def search_all(index: Index, queries: DataFrame, k: int, probes: int | None = 8, after: bool = False, least: float | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank): the k nearest of each query (query_id, embedding), exactly without `probes`; a query of another size has none.
 
     Removed ids are left out before the k are taken, or `after`; then fewer may return.
     """
-    q = _assigned(queries, "query_id", index.centroids, probes)
+    q = _assigned(queries, "query_id", index.centroids, len(index.centroids) if probes is None else probes)
     v = index.vectors
     if index.removed is not None and not after:
         v = v.join(index.removed, "id", "left_anti")
-    kinds = dict(v.dtypes)["id"], dict(q.dtypes)["query_id"]
+    kinds, dim = (dict(v.dtypes)["id"], dict(q.dtypes)["query_id"]), index.dim
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         """The k nearest of a list's vectors for each query that probes it."""
         names = ["query_id", "id", "similarity"]
         if not left.num_rows or not right.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, (left.schema.field("query_id").type, right.schema.field("id").type, pa.float64()))})
-        x = _unit(np.array(left.column("embedding").to_pylist(), float))
-        y = _unit(np.array(right.column("embedding").to_pylist(), float))
+        x, y = (_unit(matrix(t.column("embedding"), dim)[0]) for t in (left, right))
         n = min(k, len(y))
         rows, cols, sims = [], [], []
         for a in range(0, len(x), 1000):
             s = x[a : a + 1000] @ y.T
-            near = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            rows.append(np.repeat(np.arange(a, a + len(s)), n))
-            cols.append(near.ravel())
-            sims.append(np.take_along_axis(s, near, 1).ravel())
+            # those as near as the last one too, as ids decide between them
+            r, c = np.nonzero(s >= -np.partition(-s, n - 1, axis=1)[:, n - 1 : n] - 1e-12)
+            rows.append(a + r)
+            cols.append(c)
+            sims.append(s[r, c])
         r, c, s = np.concatenate(rows), np.concatenate(cols), np.concatenate(sims)
         if least is not None:
             r, c, s = r[s > least], c[s > least], s[s > least]
@@ -163,12 +163,31 @@ def search(index: Index, query: Sequence[float], k: int, probes: int = 8, after:
     return search_all(index, one, k, probes, after).orderBy("rank").select("id", "similarity")
 
 
-def links(index: Index, v: DataFrame, k: int, least: float, probes: int = 8) -> DataFrame:
-    """(id, other, similarity, rank): of each memory's k nearest, itself among them, the others above a similarity; in place of all pairs where there are too many."""
-    found = search_all(index, v.select(F.col("id").alias("query_id"), "embedding"), k, probes, least=least)
+def links(index: Index, v: DataFrame, k: int, least: float, probes: int | None = 8) -> DataFrame:
+    """(id, other, similarity, rank): of each memory's k nearest, itself among them, the others above a similarity; in place of all pairs where there are too many.
+
+    Without `probes` they are exact, of `v` that the index holds; all pairs of its vectors are compared then, by blocks.
+    """
+    if probes is None:
+        own = index.vectors if index.removed is None else index.vectors.join(index.removed, "id", "left_anti")
+        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
+        top = nearest_pairs(own, k, least).withColumn("rank", rank).where(F.col("rank") <= k)
+        found = top.join(v.select(F.col("id").alias("a")), "a", "left_semi").withColumnsRenamed({"a": "query_id", "b": "id"})
+    else:
+        found = search_all(index, v.select(F.col("id").alias("query_id"), "embedding"), k, probes, least=least)
     return found.where("query_id <> id").select(F.col("query_id").alias("id"), F.col("id").alias("other"), "similarity", "rank")
 
 
+def fitted_probes(index: Index, k: int, least: float = 0.97, queries: int = 200, seed: int = 2) -> int:
+    """How many lists a search must probe for a recall of `least` of its k nearest, by exact searches for so many of the index's vectors."""
+    q = index.vectors.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(queries).select(F.col("id").alias("query_id"), "embedding")
+    exact = search_all(index, q, k, probes=None).select("query_id", "id")
+    hits = exact.join(index.vectors.select("id", "list"), "id").select("query_id", "list").collect()
+    near = {r.query_id: np.argsort(np.argsort(-(index.centroids @ np.array(r.embedding, float)))) for r in q.collect()}
+    ranks = sorted(int(near[r.query_id][r.list]) for r in hits)
+    return ranks[-int(-least * len(ranks) // 1) - 1] + 1 if ranks else 1
+
+
 def pairs(index: Index, v: DataFrame, k: int, least: float, probes: int = 8) -> DataFrame:
     """(a, b, similarity), a < b, of memories that are among each other's k nearest, above a similarity."""
     found = links(index, v, k, least, probes)

@@ -87,6 +87,6 @@ def alike(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", "k01_bloom_both k08_counting_members g10_clusters_of_copies v35_cluster_sizes u04_merge u03_merge_stats".split())
+@pytest.mark.parametrize("name", "k01_bloom_both k08_counting_members g10_clusters_of_copies v35_cluster_sizes u04_merge u03_merge_stats r25_index_search r25_index_recall j08_index_links".split())
 def test_against_sql_on_alike(spark, duck, equal, alike, name):
     equal(QUERIES[name](spark, alike), duck(ORACLES[name], alike))
