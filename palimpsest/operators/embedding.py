@@ -11,13 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import embed_tokens
 from ..functions.vectors import normalised
-
-
-def _dense(cells: DataFrame, m: DataFrame, dim: int) -> DataFrame:
-    """(id, embedding) of cells (id, idx, x); memories without cells have zeros."""
-    packed = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "x"))).alias("c"))
-    at = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("c", i), F.lit(0.0)))
-    return m.select("id").join(packed, "id", "left").select("id", F.when(F.col("c").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(at).alias("e"))
+from .graph import checkpointed
 
 
 def _djb2(word: str) -> int:
@@ -55,13 +49,23 @@ def hash_embed(m: DataFrame, dim: int = 256, stop: bool = True) -> DataFrame:
     return t.mapInArrow(kernel, f"id {dict(m.dtypes)['id']}, embedding array<double>")
 
 
+def _unique(m: DataFrame) -> bool:
+    return m.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
 def vocabulary(m: DataFrame, dim: int) -> DataFrame:
-    """(word, idx, idf) of the most frequent tokens: idf = ln(n / df) + 1."""
-    t = m.select("id", F.explode(embed_tokens(F.col("content"))).alias("word"))
-    n = t.groupBy("word").agg(F.count("*").alias("n"), F.count_distinct("id").alias("df"))
-    top = n.orderBy(F.desc("n"), "word").limit(dim)
+    """(word, idx, idf) of the most frequent tokens: idf = ln(n / df) + 1.
+
+    Tokens are counted first, the memories that hold them for the chosen ones alone; no
+    pairs of words and ids are shuffled unless ids repeat.
+    """
+    t = embed_tokens(F.col("content"))
+    n = m.select(F.explode(t).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = checkpointed(n.orderBy(F.desc("n"), "word").limit(dim))
+    held = m.select("id", F.explode(F.array_distinct(t)).alias("word")).join(F.broadcast(top.select("word")), "word")
+    df = held.groupBy("word").agg((F.count("id") if _unique(m) else F.count_distinct("id")).alias("df"))
     total = m.agg(F.count("*").alias("total"))
-    return top.crossJoin(F.broadcast(total)).select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).alias("idx"), (F.ln(F.col("total") / F.col("df")) + 1).alias("idf"))
+    return top.join(df, "word").crossJoin(F.broadcast(total)).select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).alias("idx"), (F.ln(F.col("total") / F.col("df")) + 1).alias("idf"))
 
 
 def add_words(v: DataFrame, words: DataFrame, dim: int) -> DataFrame:
@@ -73,12 +77,38 @@ def add_words(v: DataFrame, words: DataFrame, dim: int) -> DataFrame:
 
 
 def tfidf_embed(m: DataFrame, v: DataFrame, dim: int) -> DataFrame:
-    """(id, embedding) by a vocabulary; tokens outside it count for the total."""
-    t = m.select("id", F.explode(embed_tokens(F.col("content"))).alias("word"))
-    tf = t.groupBy("id", "word").agg(F.count("*").alias("n"))
-    total = t.groupBy("id").agg(F.count("*").alias("total"))
-    cells = tf.join(v, "word").join(total, "id").select("id", F.col("idx").cast("int").alias("idx"), (F.col("n") / F.col("total") * F.col("idf")).alias("x"))
-    return _dense(cells, m, dim).select("id", normalised(F.col("e")).alias("embedding"))
+    """(id, embedding) by a vocabulary; tokens outside it count for the total.  Nothing is shuffled unless ids repeat; then their memories count as one."""
+    told = m.sparkSession.sparkContext.broadcast({r["word"]: (r["idx"], r["idf"]) for r in v.collect() if r["idx"] < dim})
+    t = m.select("id", F.when(F.col("id").isNotNull(), embed_tokens(F.col("content"))).otherwise(F.array().cast("array<string>")).alias("t"))
+    if not _unique(m):
+        t = m.select("id").join(t.groupBy("id").agg(F.flatten(F.collect_list("t")).alias("t")), "id", "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = told.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                tokens = b.column(1)
+                off = tokens.offsets.to_numpy().astype(np.int64)
+                coded = tokens.values.slice(off[0], off[-1] - off[0]).dictionary_encode()
+                own = [known.get(w, (-1, 0.0)) for w in coded.dictionary.to_pylist()]
+                x = np.zeros((b.num_rows, dim))
+                if own:
+                    k = coded.indices.to_numpy()
+                    to = np.array([i for i, _ in own], np.int64)[k]
+                    who = np.repeat(np.arange(b.num_rows), np.diff(off))
+                    x = np.bincount((who * dim + to)[to >= 0], minlength=b.num_rows * dim).reshape(b.num_rows, dim) / np.maximum(1, np.diff(off))[:, None]
+                    idf = np.zeros(dim)
+                    for i, w in own:
+                        if i >= 0:
+                            idf[i] = w
+                    x = x * idf
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                x = np.divide(x, n, out=x, where=n > 0)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0), rows], names=["id", "embedding"])
+
+    return t.mapInArrow(kernel, f"id {dict(m.dtypes)['id']}, embedding array<double>")
 
 
 def word_vectors(spark, path: str, most: int | None = None) -> DataFrame:

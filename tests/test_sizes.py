@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors
-from palimpsest.operators import graph, mining
+from palimpsest.operators import embedding, graph, mining
 from palimpsest.plans import further
 from palimpsest.plans.registry import ORACLES, QUERIES
 
@@ -90,3 +90,14 @@ def alike(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", "k01_bloom_both k08_counting_members g10_clusters_of_copies v35_cluster_sizes u04_merge u03_merge_stats r25_index_search r25_index_recall j08_index_links".split())
 def test_against_sql_on_alike(spark, duck, equal, alike, name):
     equal(QUERIES[name](spark, alike), duck(ORACLES[name], alike))
+
+
+def test_tfidf_shuffles_no_words(spark):
+    m = spark.createDataFrame([("a", "rust rust code"), ("b", "code memory"), ("b", "rust"), ("c", None), (None, "rust")], "id string, content string")
+    assert {r.word: (r.idx, round(math.exp(r.idf - 1), 6)) for r in embedding.vocabulary(m, 2).collect()} == {"rust": (0, 2.5), "code": (1, 2.5)}
+    v = spark.createDataFrame([("rust", 0, 1.0), ("code", 1, 2.0)], "word string, idx int, idf double")
+    got = [(r.id, [round(x, 6) for x in r.embedding]) for r in embedding.tfidf_embed(m, v, 2).collect()]
+    s = round(0.5**0.5, 6)
+    assert sorted(got, key=str) == sorted([("a", [s, s]), ("b", [0.447214, 0.894427]), ("b", [0.447214, 0.894427]), ("c", [0.0, 0.0]), (None, [0.0, 0.0])], key=str)
+    once = embedding.tfidf_embed(m.where("content like '%code%'"), v, 2)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
